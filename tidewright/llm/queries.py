@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .mixture_packing import mixture_pack
 from .token_counts import token_counts
+from .token_output import pack_token_ids
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,8 +27,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path(), limit=512)
 
 
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = mixture_pack(table(spark, sf_dir, "documents"), vocabulary_path(), sequence=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_token_ids(table(spark, sf_dir, "documents"), vocabulary_path(), sequence=2048, id_bytes=2)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts,)}
+    return {f.__name__: f for f in (op1_token_output, op4_token_counts, op6_mixture_packing)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
