@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import EXACT_SQL, exact_groups
 from .mixture_packing import mixture_pack
+from .storage import ship_package
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_output import pack_token_ids
 
@@ -20,6 +23,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,9 +40,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_token_ids(table(spark, sf_dir, "documents"), vocabulary_path(), sequence=2048, id_bytes=2)
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), size=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op4_token_counts, op6_mixture_packing)}
+    return {f.__name__: f for f in (op1_token_output, op4_token_counts, op6_mixture_packing, op7_exact_dedup, op10_suffix_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": EXACT_SQL}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import sys
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +39,18 @@ def drop_materialized(df: DataFrame) -> None:
         if "/tidewright/" in name:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, where their path does not hold it already; once for each Spark context."""
+    root = Path(__file__).resolve().parents[2]
+    known = {os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    context = spark.sparkContext
+    if str(root) in known or getattr(context, "_tidewright_shipped", False) or "zip" in str(root):
+        return
+    at = Path(tempfile.mkdtemp(prefix="tidewright-"))  # executors fetch the file when they first run a task
+    shutil.copytree(root / "tidewright", at / "src/tidewright", ignore=shutil.ignore_patterns("__pycache__"))
+    before = list(sys.path)
+    context.addPyFile(shutil.make_archive(f"{at}/tidewright", "zip", at / "src"))
+    sys.path[:] = before  # the driver has it already
+    context._tidewright_shipped = True
