@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import EXACT_SQL, exact_groups
 from .mixture_packing import mixture_pack
+from .near_dedup import near_groups
 from .storage import ship_package
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -40,6 +41,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_token_ids(table(spark, sf_dir, "documents"), vocabulary_path(), sequence=2048, id_bytes=2)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -50,7 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op4_token_counts, op6_mixture_packing, op7_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_output, op4_token_counts, op5_near_dedup, op6_mixture_packing, op7_exact_dedup, op10_suffix_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
