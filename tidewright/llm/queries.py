@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .exact_dedup import EXACT_SQL, exact_groups
 from .mixture_packing import mixture_pack
 from .near_dedup import near_groups
@@ -28,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.score_toxicity(docs, model, threshold=0.7)
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.labelled_sample(docs))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path(), limit=512)
 
@@ -56,7 +71,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op4_token_counts, op5_near_dedup, op6_mixture_packing, op7_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_language_id, op4_token_counts, op5_near_dedup, op6_mixture_packing, op7_exact_dedup, op10_suffix_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
