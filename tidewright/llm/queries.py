@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .exact_dedup import EXACT_SQL, exact_groups
+from .hamming_search import SEARCH_SQL, nearest_codes, sign_code
 from .mixture_packing import mixture_pack
 from .near_dedup import near_groups
 from .storage import ship_package
@@ -65,14 +66,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").withColumn("code", sign_code(F.col("embedding"), 64))
+    return nearest_codes(codes, F.col("vec_id") % 50 == 0, k=10, bits=64)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), size=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_language_id, op4_token_counts, op5_near_dedup, op6_mixture_packing, op7_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_language_id, op4_token_counts, op5_near_dedup, op6_mixture_packing, op7_exact_dedup, op8_hamming_search, op10_suffix_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT_SQL}
+    return {"op7_exact_dedup": EXACT_SQL, "op8_hamming_search": SEARCH_SQL}
