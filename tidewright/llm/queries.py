@@ -12,6 +12,7 @@ from .exact_dedup import EXACT_SQL, exact_groups
 from .hamming_search import SEARCH_SQL, nearest_codes, sign_code
 from .mixture_packing import mixture_pack
 from .near_dedup import near_groups
+from .piece_sampling import decode_pieces, sample_pieces
 from .storage import ship_package
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -71,13 +72,24 @@ def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_codes(codes, F.col("vec_id") % 50 == 0, k=10, bits=64)
 
 
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text, and whether decoding gives the text back. The id takes the text's digest along."""
+    model = vocabulary_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.struct("doc_id", F.sha2("text", 256).alias("sha")))
+    sampled = sample_pieces(docs, model, seed=0, id_col="key")
+    told = F.struct("key.*", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"))
+    decoded = decode_pieces(sampled.withColumn("key", told), model, id_col="key")
+    same = F.sha2("text", 256).eqNullSafe(F.col("key.sha"))
+    return decoded.select("key.doc_id", "key.n_pieces", "key.ids_crc32", same.alias("lossless"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), size=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_language_id, op4_token_counts, op5_near_dedup, op6_mixture_packing, op7_exact_dedup, op8_hamming_search, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_language_id, op4_token_counts, op5_near_dedup, op6_mixture_packing, op7_exact_dedup, op8_hamming_search, op9_piece_sampling, op10_suffix_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
