@@ -10,8 +10,8 @@ strings share anchors, so there is about one anchor for 80 bytes, and only ancho
 3. of the other classes one anchor for each different stretch goes on with its bytes. Classes are dealt to tasks, and a task
    builds suffix arrays of blocks of classes by the difference-cover algorithm (see suffixes) and compares the first
    ``size`` bytes of neighbours;
-4. a class of more than MAX_CLASS different stretches is never gathered: its strings are counted by 128-bit hash, before the shuffle
-   and after.
+4. a class of more than MAX_CLASS different stretches is never gathered: its strings are counted by 128-bit hash, first in cells of
+   CELL neighbouring strings, and one by one only where cells in one place differ.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .suffixes import repeated_windows
 GRAM = 32
 #: Bytes that are hashed at a time (longer texts in overlapping parts), and bytes of one suffix array.
 PART, BLOCK = 4 << 20, 1 << 20
-MAX_CLASS = 2048
+MAX_CLASS, CELL = 2048, 16
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -92,8 +93,11 @@ def anchors(hasher: Hasher, data: np.ndarray, size: int) -> tuple[np.ndarray, np
     return grams[where], stretch, first, count
 
 
-def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", max_class: int = MAX_CLASS) -> DataFrame:
-    """One row per input row: id_col, n_bytes, n_removed, n_spans, spans, kept (binary: the bytes left).
+def remove_repeats(
+    df: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", max_class: int = MAX_CLASS, carry: bool = False
+) -> DataFrame:
+    """One row per input row: id_col, n_bytes, n_removed, n_spans, spans, kept (binary: the bytes left); with ``carry`` also
+    ``row``, a struct of all of the row's columns, so that nothing need be joined back by id.
 
     Removed is each byte that lies in a string of ``size`` bytes (UTF-8) that begins anywhere else too, in the same text or another;
     overlapping occurrences count, matches never cross texts, and strings are judged on the input. ``spans`` are the maximal
@@ -102,7 +106,9 @@ def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_
     """
     kind, id_type = df.schema[id_col].dataType.simpleString(), batch_type(df, id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), F.hash(text).alias("tag"), text.alias("text"))  # a repeated id has its text's hash
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns] if carry else [])
+    carried = df.select(F.col(id_col).alias("id"), F.hash(text).alias("tag"), text.alias("text"), *[row.alias("row")] * carry)
+    docs = carried.select("id", "tag", "text")  # rows of one id are told apart by their texts' hashes
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PART)
@@ -192,6 +198,27 @@ def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_
     narrow = bytes_of.where("not wide").dropDuplicates(["id", "tag", "h", "first"]).select("id", "tag", "h", "first", "data")
     partly = narrow.repartition("h").sortWithinPartitions("h").mapInArrow(compare, f"id {kind}, tag int, first long, stop long")
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of a place by cells of CELL strings, counted from the anchor, so that equal strings lie in equal cells."""
+        grams, one, two = Hasher(2 * size + 2), Hasher(2 * size + 2, 1), Hasher(2 * size + 2, 2)
+        for batch in batches:
+            out: list[list] = [[] for _ in range(9)]
+            for doc, tag, h, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                at = np.arange(size - GRAM + 1)
+                anchor = int(np.flatnonzero(grams.of(grams.sums(data), at, at + GRAM).view(np.int64) == h)[-1])
+                a, b = one.sums(data), two.sums(data)
+                starts = np.arange(len(data) - size + 1)
+                cell = (anchor - starts) // CELL
+                for c in np.unique(cell):
+                    mine = starts[cell == c]
+                    lo, hi = mine[:1], mine[-1:] + size
+                    row = (h, int(c), int(one.of(a, lo, hi).view(np.int64)[0]), int(two.of(b, lo, hi).view(np.int64)[0]), doc, tag, first + int(lo[0]), len(mine), text[lo[0] : hi[0]])
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), id_type, pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "cell", "a", "b", "id", "tag", "first", "n", "data"])
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Hasher(2 * size + 2, 1), Hasher(2 * size + 2, 2)
         for batch in batches:
@@ -206,16 +233,26 @@ def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_
             if take:
                 rows = pa.array(np.concatenate(take))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
-                    names=["id", "tag", "first", "a", "b"],
+                    [*(batch.column(c).take(rows) for c in (0, 1)), batch.column(4).take(rows), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
+                    names=["id", "tag", "times", "first", "a", "b"],
                 )
 
-    hot = bytes_of.where("wide").dropDuplicates(["id", "tag", "h", "first"]).select("id", "tag", "first", "data").mapInArrow(strings, f"id {kind}, tag int, first long, a long, b long")
-    often = hot.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b")
-    hot_spans = hot.join(often, ["a", "b"], "left_semi").select("id", "tag", "first", (F.col("first") + size).alias("stop"))
+    hot = bytes_of.where("wide").dropDuplicates(["id", "tag", "h", "first"]).select("id", "tag", "h", "first", "data")
+    hot = hot.mapInArrow(cells, f"h long, cell int, a long, b long, id {kind}, tag int, first long, n int, data binary")
+    hot = materialize(hot, "cells")
+    cell = ["h", "cell", "a", "b"]
+    kinds = hot.groupBy(*cell).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "tag", "first", "data")).alias("p"))
+    kinds = materialize(kinds.select(*cell, "times", "p.*"), "kinds")
+    whole_cells = hot.join(kinds.where("times > 1").select(*cell), cell, "left_semi")
+    several = kinds.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "cell")
+    single = kinds.join(several, ["h", "cell"], "left_semi").select("id", "tag", "first", "data", "times")
+    single = single.mapInArrow(strings, f"id {kind}, tag int, times long, first long, a long, b long")
+    often = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b")
+    hot_spans = single.where("times = 1").join(often, ["a", "b"], "left_semi").select("id", "tag", "first", (F.col("first") + size).alias("stop"))
+    hot_spans = hot_spans.unionByName(whole_cells.select("id", "tag", "first", (F.col("first") + F.col("n") - 1 + size).alias("stop")))
     spans = whole.unionByName(partly).unionByName(hot_spans)
     spans = spans.groupBy(F.col("id").alias("i"), F.col("tag").alias("t")).agg(F.collect_set(F.struct("first", "stop")).alias("found"))
-    out = docs.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left").select("id", "text", "found")
+    out = carried.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left").select("id", "text", "found", *["row"] * carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,10 +264,43 @@ def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([
                     some.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
                     pa.array([len(m) for m in merged], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    pa.array(kept, pa.binary()),
-                ], names=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                    pa.array(kept, pa.binary()), *some.columns[3:],
+                ], names=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept", "row"][: 6 + carry])
+
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary"
+    return out.mapInArrow(cut, schema + (f", row {out.schema['row'].dataType.simpleString()}" if carry else ""))
 
-    return out.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary")
+
+def strip_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``df``, all columns, their texts without repeated strings; a character that is covered in part stays whole.
+
+    ``length_col``, where there is one, becomes the new length in characters. Null texts stay null.
+    """
+    found = remove_repeats(df, size, id_col, text_col, carry=True)
+
+    @F.pandas_udf("string")
+    def left(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None or not len(s) else _whole_characters(t.encode(), s) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+    text = left(F.col(f"row.`{text_col}`"), F.col("spans"))
+    out = found.select("row.*", text.alias("_left"))
+    length = [F.length("_left").cast(df.schema[length_col].dataType).alias(length_col)] if length_col in df.columns else []
+    columns = [F.col("_left").alias(c) if c == text_col else length[0] if length and c == length_col else F.col(f"`{c}`") for c in df.columns]
+    return out.select(*columns)
+
+
+def _whole_characters(data: bytes, spans) -> str:
+    out, at = [], 0
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80  # noqa: E731  within a character
+    for span in spans:
+        a, b = span["start"], span["stop"]
+        while a < b and inside(a):
+            a += 1
+        while b > a and inside(b):
+            b -= 1
+        out.append(data[at:a])
+        at = b
+    return b"".join([*out, data[at:]]).decode()
 
 
 def merge(found: list[dict]) -> list[tuple[int, int]]:
