@@ -6,8 +6,9 @@ population count of the XOR of two sketches is at most twice the number of sampl
 is high, so a pair with a larger count than a pair at the threshold can have (to six standard deviations) needs no look at its sets.
 
 Buckets are not expanded to pairs. Each is first joined as two stars, to leaders that differ from band to band; confirmed links make
-components; then only members of one bucket that lie in different components are compared, in blocks of sketches, and what passes is
-confirmed. A link inside a component changes no result; every link between components is looked at.
+components; then only members of one bucket that lie in different components are compared, in blocks: by sketches, and where those pass
+by bitmaps of the whole sets, so that of a large group that is close but not linked no pairs leave a task. What is left is
+confirmed on the sets. A link inside a component changes no result; every link between components is looked at.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .mixture_packing import batch_type
-from .storage import drop_materialized, materialize
+from .storage import materialize
 from .suffix_dedup import Hasher, mixed
 
-SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 20, 4, 512
+SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 26, 4, 512
 #: Bytes hashed at a time; a longer text has a buffer of its own. Nodes in one block of a bucket that is compared whole.
 PART, BLOCK = 4 << 20, 512
 
@@ -71,6 +72,13 @@ def sketch(shingles: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.nd
     return key.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bitmap(values: bytes) -> np.ndarray:
+    """65,536 bits as 64-bit words, those of the 16-bit ``values`` set."""
+    bits = np.zeros(1 << 16, np.uint8)
+    bits[np.frombuffer(values, np.uint16)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def most_flips(threshold: float) -> int:
     """Largest XOR count that a pair of the threshold's similarity has, six standard deviations allowed for."""
     return int(2 * (SAMPLES * (1 - threshold) + 6 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)) + 1
@@ -88,7 +96,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     100 * |intersection| >= percent * |union|; components are those of the links, component_id is the least id in it.
     Null, empty and blank texts have no shingles and are linked with nothing (component_id: their own id). Rows of equal id and
     set are in one component and share ``kept``. A null id never is a component's id unless it is alone there.
-    An empty table gives no rows. A link is missed only if no band agrees: 4 in 10 million at similarity 0.85, less above.
+    An empty table gives no rows. A link is missed only if no band agrees: 1 in a million at similarity 0.8, less above.
     """
     kind, id_type = df.schema[id_col].dataType.simpleString(), batch_type(df, id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -131,8 +139,15 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [shingler(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            # of the 16-bit values of a set, which is all that a first comparison needs
+            short = [np.unique((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(short, pa.binary())], names=["node", "shingles", "short"])
+
+    # rows of equal id and text hash repeat one text; should their texts differ, either may stand for the node
+    reps = nodes.join(met.select("node").distinct(), "node").select("node", F.col("rep.id").alias("i"), F.col("rep.tag").alias("t"), "n")
+    texts = docs.join(reps, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("node", "text")
+    sets = materialize(texts.mapInArrow(sets_of, "node long, shingles binary, short binary"), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,15 +160,10 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        reps = nodes.join(wanted, "node").select("node", F.col("rep.id").alias("i"), F.col("rep.tag").alias("t"))
-        # rows of equal id and text hash repeat one text; should their texts differ, both are taken and the sets tell
-        texts = docs.join(reps, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("node", "text")
-        sets = materialize(texts.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        links = materialize(both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long"), "links")
-        drop_materialized(sets)
-        return links
+        both = pairs
+        for side in ("a", "b"):
+            both = both.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
+        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long").distinct(), "links")
 
     links = confirmed(tried)
     roots = connected_components(links)
@@ -161,8 +171,8 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     mixed_buckets = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     parts = F.ceil(F.col("c") / BLOCK).cast("int")
     rest = placed.join(mixed_buckets, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rest = rest.join(sketched, "node").select("key", "node", "root", "n", "odd", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "n", "odd")
+    rest = rest.join(sketched, "node").join(sets.select("node", "short"), "node").select("key", "node", "root", "n", "odd", "short", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "n", "odd", "short")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -174,11 +184,17 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
             right = [g for g in group if g[3] == q]
             node, root, size = (np.array([g[k] for g in right]) for k in (4, 5, 6))
             odd = np.array([g[7] for g in right], np.int64)
+            maps = np.stack([bitmap(g[8]) for g in right]) if right else None
             for g in left if right else ():
                 fits = (root != g[5]) & (100 * np.minimum(size, g[6]) >= ratio * np.maximum(size, g[6]))
                 fits &= (node > g[4]) if p == q else True
                 at = np.flatnonzero(fits)
                 at = at[np.bitwise_count((odd[at] ^ np.array(g[7], np.int64)).view(np.uint64)).sum(axis=1) <= limit]
+                if len(at):
+                    mine = bitmap(g[8])
+                    lost = g[6] - len(g[8]) // 2  # members that share a value: so many more may be common, at most
+                    common = np.minimum(np.concatenate([np.bitwise_count(maps[some] & mine).sum(axis=1, dtype=np.int64) for some in np.array_split(at, len(at) // 64 + 1)]) + lost, np.minimum(size[at], g[6]))
+                    at = at[100 * common >= ratio * (size[at] + g[6] - common)]
                 out[0].extend(np.minimum(node[at], g[4]).tolist())
                 out[1].extend(np.maximum(node[at], g[4]).tolist())
             group.clear()
