@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-for _topic in ("values", "routing", "flow", "ledger", "snapshot", "sinks", "status"):
+for _topic in ("values", "routing", "flow", "ledger", "snapshot", "sinks", "status", "flagship"):
     importlib.import_module(f"{__name__}.{_topic}")
 
 __all__ = ["ORACLES", "QUERIES"]
