@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from ..operators import dedupe, ledger
 from .base import EVENTS, events, query, table
 
-RESOLVED, SAFE = (F.col("seq") % 1009 != 700), (F.col("seq") % 5 == 0)
+
+
+def resolved():
+    return F.col("seq") % 1009 != 700
+
+
+def safe():
+    return F.col("seq") % 5 == 0
+
+
 P = f"(SELECT *, bool_and(seq % 1009 <> 700) OVER (PARTITION BY lane ORDER BY seq) AS p FROM {EVENTS})"
 
 
 @query(f"SELECT seq, lane, p AS in_prefix FROM {P}")
 def resolved_prefix(spark, sf_dir):
-    return ledger.with_prefix(events(spark, sf_dir), ["lane"], "seq", RESOLVED).select("seq", "lane", "in_prefix")
+    return ledger.with_prefix(events(spark, sf_dir), ["lane"], "seq", resolved()).select("seq", "lane", "in_prefix")
 
 
 COMMIT = f"(SELECT lane, max(seq) FILTER (WHERE p) AS resolved_to, max(seq) FILTER (WHERE p AND seq % 5 = 0) AS commit_to FROM {P} GROUP BY lane)"
@@ -22,12 +31,12 @@ COMMIT = f"(SELECT lane, max(seq) FILTER (WHERE p) AS resolved_to, max(seq) FILT
 
 @query(f"SELECT * FROM {COMMIT}")
 def commit_position(spark, sf_dir):
-    return ledger.commit_position(events(spark, sf_dir), ["lane"], "seq", RESOLVED, SAFE)
+    return ledger.commit_position(events(spark, sf_dir), ["lane"], "seq", resolved(), safe())
 
 
 @query(f"SELECT lane, count(*) FILTER (WHERE commit_to IS NULL OR seq > commit_to) AS replay FROM {EVENTS} JOIN {COMMIT} USING (lane) GROUP BY lane")
 def replay_records(spark, sf_dir):
-    return ledger.replay_window(events(spark, sf_dir), ["lane"], "seq", RESOLVED, SAFE)
+    return ledger.replay_window(events(spark, sf_dir), ["lane"], "seq", resolved(), safe())
 
 
 C = f"(SELECT lane, seq AS step, (seq * 37) % 1000 AS s, CASE WHEN seq % 4 <> 0 THEN (seq * 53) % 1000 END AS o FROM {EVENTS})"
