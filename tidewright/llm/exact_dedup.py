@@ -59,8 +59,10 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``df``, all columns, whose text no row with a larger id repeats; repeated rows leave one."""
     groups = exact_groups(df, id_col, text_col)
     gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti").dropDuplicates([id_col, text_col])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # as one column, so that no name can clash
+    held = df.select(row.alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    held = held.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    return held.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 EXACT_SQL = """

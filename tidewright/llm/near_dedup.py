@@ -224,5 +224,8 @@ def drop_near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: s
     """The rows of ``df``, all columns, without those whose component keeps another; repeated rows leave one."""
     groups = near_groups(df, words, percent, id_col, text_col)
     gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.col("tag").alias("gone_tag")).distinct()
-    tag = F.hash(F.coalesce(F.col(text_col), F.lit("")))
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (tag == F.col("gone_tag")), "left_anti").dropDuplicates([id_col, text_col])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # as one column, so that no name can clash
+    held = df.select(row.alias("row"), F.col(id_col).alias("id"), F.hash(text).alias("tag"), F.xxhash64(text).alias("more"))
+    held = held.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tag") == F.col("gone_tag")), "left_anti")
+    return held.dropDuplicates(["id", "tag", "more"]).select("row.*")

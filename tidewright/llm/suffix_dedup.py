@@ -283,10 +283,11 @@ def strip_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
         return pd.Series([t if t is None or s is None or not len(s) else _whole_characters(t.encode(), s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     text = left(F.col(f"row.`{text_col}`"), F.col("spans"))
-    out = found.select("row.*", text.alias("_left"))
-    length = [F.length("_left").cast(df.schema[length_col].dataType).alias(length_col)] if length_col in df.columns else []
-    columns = [F.col("_left").alias(c) if c == text_col else length[0] if length and c == length_col else F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns)
+    found = found.select("row", text.alias("left"))
+    of = {c: F.col(f"row.`{c}`") for c in df.columns} | {text_col: F.col("left")}
+    if length_col in df.columns:
+        of[length_col] = F.length("left").cast(df.schema[length_col].dataType)
+    return found.select(*[of[c].alias(c) for c in df.columns])
 
 
 def _whole_characters(data: bytes, spans) -> str:
