@@ -121,7 +121,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
             )
 
     found = materialize(docs.mapInArrow(sketches, f"id {kind}, tag int, n long, set binary, bands array<long>, odd array<long>"), "sketches")
-    nodes = found.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "tag")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    nodes = found.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.min(F.struct("id", "tag")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     entries = nodes.select(F.explode("bands").alias("key"), "node")
@@ -212,8 +212,8 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     more = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(confirmed(more))
     roots = connected_components(links).withColumnRenamed("node", "linked")
-    classes = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("set", "rep", F.coalesce("root", "node").alias("root"))
-    heads = classes.groupBy("root").agg(F.min("rep.id").alias("component_id"))
+    classes = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("set", "least", F.coalesce("root", "node").alias("root"))
+    heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(heads, "root").select("set", "component_id")
     out = found.where("n > 0").join(classes, "set").select("id", "n", "component_id", "tag")
     out = out.unionByName(found.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "tag"))
