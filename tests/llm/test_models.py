@@ -54,7 +54,7 @@ def test_pipeline(spark, odd_docs):
     docs = table(spark, SF, "documents")
     schema, ids = docs.schema, None
     for name, stage in corpus_pipeline.STAGES:
-        after = materialize(stage(spark, docs, SF), name)
+        after = materialize(stage(spark, docs, SF), name, keep=True)
         if name != "packing":
             assert after.schema == schema
             ids = {r.doc_id for r in after.select("doc_id").collect()}
@@ -63,5 +63,5 @@ def test_pipeline(spark, odd_docs):
     assert {r.doc_id for r in docs.collect()} == ids
     docs = odd_docs
     for name, stage in corpus_pipeline.STAGES[1:]:
-        docs = materialize(stage(spark, docs, SF), name)
+        docs = materialize(stage(spark, docs, SF), name, keep=True)
     assert docs.count() > 0

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .mixture_packing import batch_type
-from .storage import materialize
+from .storage import drop_materialized, materialize
 from .suffix_dedup import Hasher, mixed
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 26, 4, 512
@@ -212,6 +212,8 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     more = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(confirmed(more))
     roots = connected_components(links).withColumnRenamed("node", "linked")
+    for done in (sets, met, tried, more):
+        drop_materialized(done)
     classes = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("set", "least", F.coalesce("root", "node").alias("root"))
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(heads, "root").select("set", "component_id")

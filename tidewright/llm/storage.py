@@ -12,6 +12,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def end_stages() -> None:
+    """No stage runs any more; the last one's tables stay until a next pipeline begins, as its result may not have been read yet."""
+    global _IN_STAGE
+    _IN_STAGE = False
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (tests, a single machine) a temporary folder is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,12 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and survives a lost executor."""
+#: Tables of the pipeline stage that runs, where one does.
+_STAGE_TABLES: list[DataFrame] = []
+_IN_STAGE = False
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and survives a lost executor.
+
+    Within a pipeline the table goes when the next stage begins, unless ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright/{uuid.uuid4().hex}/{label}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _IN_STAGE and not keep:
+        _STAGE_TABLES.append(out)
+    return out
+
+
+def begin_stage() -> None:
+    """A pipeline stage begins: the one before has been written, so what it worked with can go."""
+    global _IN_STAGE
+    _IN_STAGE = True
+    while _STAGE_TABLES:
+        drop_materialized(_STAGE_TABLES.pop())
 
 
 def drop_materialized(df: DataFrame) -> None:
