@@ -66,7 +66,7 @@ def fit(sample: list[tuple[str, str]], accuracy: float = 0.99, seed: int = 5) ->
                 labels.append(y[n])
     model = SubwordModel(max(1, len(names)), seed)
     if bags:
-        model.fit(Bags(bags), np.array(labels), np.arange(len(bags)), epochs=3, seed=seed)
+        model.fit(Bags(bags), np.array(labels), np.arange(len(labels)), epochs=3, seed=seed)
     result = LanguageModel(names, model.table().astype(np.float32), model.bias.astype(np.float64), 1.0, 0.5)
     scores = WordScores(result.table)
     use = [n for n in np.flatnonzero(apart) if texts[n]]

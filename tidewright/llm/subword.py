@@ -8,6 +8,7 @@ applied as one table of class scores by n-gram bucket.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -43,14 +44,30 @@ def ngrams(words: list[str], hasher: Hasher | None = None) -> tuple[np.ndarray,
 
 
 class Bags:
-    """Training bags over one vocabulary of words."""
+    """Training bags over one vocabulary of words, as flat arrays: a driver holds hundreds of thousands of them."""
 
     def __init__(self, bags: Iterable[list[str]]):
-        self.index: dict[str, int] = {}
-        self.bags = [np.array([self.index.setdefault(w, len(self.index)) for w in bag]) for bag in bags]
-        self.grams, self.counts = ngrams(list(self.index)) if self.index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        index: dict[str, int] = {}
+        flat, ends = array("i"), array("q", [0])
+        for bag in bags:
+            flat.extend([index.setdefault(w, len(index)) for w in bag])
+            ends.append(len(flat))
+        self.flat, self.ends = np.array(flat, np.int32), np.array(ends, np.int64)
+        words = list(index)
+        parts = [ngrams(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
+        self.grams = np.concatenate([np.zeros(0, np.int32), *(g.astype(np.int32) for g, _ in parts)])
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
         self.starts = np.cumsum(self.counts) - self.counts
 
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def words(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words of the bags in order, length of each)."""
+        lengths = self.ends[which + 1] - self.ends[which]
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.ends[which], lengths)
+        return self.flat[at], lengths
+
 
 class SubwordModel:
     def __init__(self, classes: int, seed: int = 1):
@@ -68,8 +85,8 @@ class SubwordModel:
             order = rng.permutation(which)
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                lengths = np.array([len(data.bags[b]) for b in some])
-                words, inverse = np.unique(np.concatenate([data.bags[b] for b in some]), return_inverse=True)
+                words, lengths = data.words(some)
+                words, inverse = np.unique(words, return_inverse=True)
                 owner = np.repeat(np.arange(len(some)), lengths)
                 share = np.zeros((len(some), len(words)), np.float32)  # of each word in each bag
                 np.add.at(share, (owner, inverse), 1 / lengths[owner].astype(np.float32))

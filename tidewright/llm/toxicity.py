@@ -7,6 +7,7 @@ turns the worst window's score into a probability.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,22 +69,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, seed: int = 3) -> ToxicityModel:
     """A model from (text, label) rows. ``toxic_share``: of all labelled texts, where the sample has another one."""
-    texts = [words_of(t) for t, _ in sample]
+    once: dict[str, str] = {}
+    texts = [[once.setdefault(w, w) for w in words_of(t)] for t, _ in sample]
     y = np.array([label for _, label in sample], np.int64)
     if len(set(y.tolist())) < 2:  # nothing to tell apart
         base = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(np.zeros((1 << BUCKET_BITS, 1), np.float32), 0.0, 0.0, -40.0 if base == 0 else 40.0, base)
     part = np.random.default_rng(seed).random(len(texts)) < 0.2  # kept apart for the last fit
-    windows, owner = [], []
-    for n, words in enumerate(texts):
-        if not part[n]:
-                # of a text labelled toxic all windows, overlapping; of another one at most some 40
+    owner = array("i")
+
+    def windows() -> Iterator[list[str]]:
+        for n, words in enumerate(texts):
+            # of a text labelled toxic all windows, overlapping; of another one at most some 40
             step = WINDOW // 2 if y[n] else max(WINDOW // 2, len(words) // 40)
-            for at in range(0, max(1, len(words) - WINDOW // 2), step):
-                if words:
-                    windows.append(words[at : at + WINDOW])
-                    owner.append(n)
-    data, owner = Bags(windows), np.array(owner)
+            for at in range(0, max(1, len(words) - WINDOW // 2), step) if words and not part[n] else ():
+                owner.append(n)
+                yield words[at : at + WINDOW]
+
+    data = Bags(windows())
+    owner = np.array(owner, np.int64)
     labels = y[owner]
     model = SubwordModel(2, seed)
     rng = np.random.default_rng(seed + 1)
@@ -94,7 +98,7 @@ def fit(sample: list[tuple[str, int]], toxic_share: float | None = None, seed: i
         model.fit(data, labels, np.concatenate([chosen, some])[:40_000] if turn else np.concatenate([rng.permutation(chosen)[:20_000], some[:20_000]]), epochs=2 if turn else 1, seed=seed + turn)
         table = model.table()[:, 1:] - model.table()[:, :1]
         words = np.add.reduceat(table[data.grams, 0], data.starts) / data.counts
-        score = np.array([words[b].sum() / WINDOW for b in data.bags])
+        score = np.add.reduceat(words[data.flat], data.ends[:-1]) / WINDOW
         # of each toxic text the windows near its best one
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, score)
