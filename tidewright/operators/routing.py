@@ -9,10 +9,10 @@ from ..functions.text import lookup
 
 #: Class -> (blame, terminal, counted as an attempt).
 FAULT_CLASSES = {
-    "unclassified": ("canal", False, True), "transient_upstream": ("upstream", False, True), "transient_internal": ("canal", False, True),
+    "unclassified": ("engine", False, True), "transient_upstream": ("upstream", False, True), "transient_internal": ("engine", False, True),
     "throttled": ("upstream", False, False), "indeterminate": ("upstream", False, True), "permanent_upstream": ("upstream", True, True),
-    "permanent_internal": ("canal", True, True), "permanent_mapping": ("config", True, True), "permanent_contract": ("config", True, True),
-    "duplicate_idempotent": ("upstream", False, True), "clock_skew": ("config", False, True), "fenced": ("canal", False, True),
+    "permanent_internal": ("engine", True, True), "permanent_mapping": ("config", True, True), "permanent_contract": ("config", True, True),
+    "duplicate_idempotent": ("upstream", False, True), "clock_skew": ("config", False, True), "fenced": ("engine", False, True),
     "not_connected": ("upstream", False, False), "end_of_input": ("upstream", False, False),
 }
 FLOOR_MS, UNBOUNDED_MS = 100, 3_600_000
