@@ -171,7 +171,7 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
 
-        vocab = vocabulary(path)
+        vocab = Vocabulary(path)  # not kept: the engine has what it needs
         order = [vocab.ids[a + b] for a, b in vocab.ranks]
         if any(x >= y for x, y in zip(order, order[1:], strict=False)):
             raise ValueError("ids of this vocabulary do not follow its merges")

@@ -28,7 +28,7 @@ from .suffix_dedup import Hasher, mixed
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 26, 4, 512
 #: Bytes hashed at a time; a longer text has a buffer of its own. Nodes in one block of a bucket that is compared whole.
-PART, BLOCK = 4 << 20, 512
+PART, BLOCK = 1 << 20, 512
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

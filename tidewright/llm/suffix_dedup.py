@@ -30,7 +30,7 @@ from .suffixes import repeated_windows
 
 GRAM = 32
 #: Bytes that are hashed at a time (longer texts in overlapping parts), and bytes of one suffix array.
-PART, BLOCK = 4 << 20, 1 << 20
+PART, BLOCK = 1 << 20, 1 << 20
 MAX_CLASS, CELL = 2048, 16
 
 MULTIPLIER = 0x9E3779B97F4A7C15
