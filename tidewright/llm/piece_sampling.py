@@ -28,9 +28,19 @@ LITERAL = "\ud800"
 #: Words and lattice edges that a worker keeps at most; beyond, it starts afresh.
 CACHE_WORDS, CACHE_EDGES = 500_000, 16_000_000
 
+#: Words up to so many characters are worked on side by side.
+SIDE_BY_SIDE, HASH_FACTOR = 24, np.uint64(0x9E3779B97F4A7C15)
+
 find_words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
 
+def _hash(text: str) -> int:
+    h = 0
+    for c in text:
+        h = (h + ord(c) + 1) * int(HASH_FACTOR) % (1 << 64)
+    return h
+
+
 class Pieces:
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
@@ -51,6 +61,10 @@ class Pieces:
                 self.weights[piece] = (i, exp(sharpness * max(lowest, library.get_score(i))))
         self.longest = max(map(len, self.weights), default=1)
         self.starts = {piece[:k] for piece in self.weights for k in range(1, len(piece) + 1)}
+        hashed = {_hash(start): self.weights.get(start, (-1, 0.0)) for start in self.starts}
+        self.start_keys = np.array(sorted(hashed), np.uint64)
+        self.start_piece = np.array([hashed[k][0] for k in self.start_keys.tolist()], np.int64)
+        self.start_weight = np.array([hashed[k][1] for k in self.start_keys.tolist()])
         self.start()
 
     def start(self) -> None:
@@ -59,7 +73,65 @@ class Pieces:
         self.node_first, self.nodes, self.edges = [np.zeros(0, np.int64)], 0, 0
 
     def add(self, words: list[str]) -> None:
-        """Lattices of new words. A node is a position after a word's start; its edges lie together, shares cumulated."""
+        """Lattices of new words: short ones side by side, long ones singly."""
+        short = [w for w in words if len(w) <= SIDE_BY_SIDE]
+        if short:
+            self._add_short(short)
+        if len(short) < len(words):
+            self._add_long([w for w in words if len(w) > SIDE_BY_SIDE])
+
+    def _add_short(self, words: list[str]) -> None:
+        width = SIDE_BY_SIDE
+        letters = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, width).astype(np.uint64)
+        lengths = np.array([len(w) for w in words])
+        found: list[tuple[np.ndarray, ...]] = []  # (word, from, to, piece, weight) of edges
+        ends = np.zeros((len(words), width + 1), bool)
+        for i in range(int(lengths.max())):
+            alive = np.flatnonzero(lengths > i)
+            h = np.zeros(len(alive), np.uint64)
+            for j in range(i + 1, min(width, i + self.longest) + 1):
+                inside = lengths[alive] >= j
+                alive, h = alive[inside], h[inside]
+                h = (h + letters[alive, j - 1] + np.uint64(1)) * HASH_FACTOR
+                at = np.minimum(np.searchsorted(self.start_keys, h), len(self.start_keys) - 1)
+                known = self.start_keys[at] == h
+                alive, h, at = alive[known], h[known], at[known]
+                if not len(alive):
+                    break
+                whole = self.start_piece[at] >= 0
+                rows = alive[whole]
+                ends[rows, j] = True
+                found.append((rows, np.full(len(rows), i), np.full(len(rows), j), self.start_piece[at[whole]], self.start_weight[at[whole]]))
+        # where no piece ends, the character's bytes lead there, as one edge (id -1-code)
+        rows, to = np.nonzero(~ends[:, 1:] & (np.arange(width) < lengths[:, None]))
+        found.append((rows, to, to + 1, -1 - letters[rows, to].astype(np.int64), np.ones(len(rows))))
+        word, start, end, piece, weight = (np.concatenate(c) for c in zip(*found, strict=True))
+        forward = np.zeros((len(words), width + 1))
+        forward[:, 0] = 1
+        order = np.argsort(end, kind="stable")
+        flow = np.zeros(len(end))
+        for e in np.split(order, np.searchsorted(end[order], np.arange(2, width + 1))):
+            flow[e] = forward[word[e], start[e]] * weight[e]
+            if len(e):
+                forward[:, end[e[0]]] = np.bincount(word[e], weights=flow[e], minlength=len(words))
+        order = np.lexsort((start, end, word))
+        word, start, end, piece, flow = word[order], start[order], end[order], piece[order], flow[order]
+        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (end[1:] != end[:-1])]))
+        share = flow / forward[word, end]
+        share = np.cumsum(share)
+        share -= np.repeat(np.concatenate([[0.0], share[first[1:] - 1]]), np.diff(np.append(first, len(word))))
+        share[np.append(first[1:], len(word)) - 1] = 2.0
+        base = self.nodes + np.cumsum(lengths) - lengths
+        self.edge_from.append(np.where(start > 0, base[word] + start - 1, -1).astype(np.int32))
+        self.edge_id.append(piece.astype(np.int32))
+        self.edge_share.append(share.astype(np.float32))
+        self.node_first.append((self.edges + first).astype(np.int64))
+        self.words.update(zip(words, (base + lengths - 1).tolist(), strict=True))
+        self.nodes += int(lengths.sum())
+        self.edges += len(word)
+
+    def _add_long(self, words: list[str]) -> None:
+        """A node is a position after a word's start; its edges lie together, shares cumulated."""
         froms, ids, shares, firsts = [], [], [], []
         weights, starts = self.weights, self.starts
         for word in words:
