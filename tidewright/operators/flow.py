@@ -1,7 +1,10 @@
-"""Splitting, batching, shedding, token buckets, derivation. Greedy folds run over one lane's ordered rows: a lane's window must fit a task."""
+"""Splitting, batching, shedding, token buckets, derivation. Greedy folds pass once over each lane's ordered rows, holding one state."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,47 +22,62 @@ def split_records(df: DataFrame, by: list[str], order: str, most: int) -> DataFr
 
 def split_bytes(df: DataFrame, by: list[str], order: str, size: Column, most: int) -> DataFrame:
     """by, order, chunk: greedy chunks that would exceed ``most`` bytes are closed before; an oversize record is alone."""
-    return _fold(df, by, order, size, lambda used, x: (used == 0) | (used + x <= most), "chunk")
+    return _groups(df, by, order, size, lambda used, x: used == 0 or (used is not None and x is not None and used + x <= most), "chunk")
 
 
 def batch_bytes(df: DataFrame, by: list[str], order: str, size: Column, least: int) -> DataFrame:
     """by, order, batch: a record is added, then the batch is closed when it holds ``least`` bytes or more."""
-    return _fold(df, by, order, size, lambda used, x: used < least, "batch")
+    return _groups(df, by, order, size, lambda used, x: used is not None and used < least, "batch")
+
+
+def _fold(df: DataFrame, by: list[str], order: str, weight: Column, step: Callable, name: str, kind: str) -> DataFrame:
+    """by, order, ``name``: ``step(state, weight) -> (state, value)`` over each lane's rows in order; the first state of a lane is None.
+
+    Rows stream by, sorted, and one lane's state is held: time is linear in a lane's rows, and a lane need not fit in memory.
+    """
+    rows = df.select(*by, F.col(order).cast("bigint").alias(order), weight.alias("_w"))
+    rows = rows.repartition(*by).sortWithinPartitions(*by, order, "_w")
+    value = pa.float64() if kind == "double" else pa.int64()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, state = None, None
+        for batch in batches:
+            out = []
+            for *key, w in zip(*[batch.column(n).to_pylist() for n in range(len(by))], batch.column(len(by) + 1).to_pylist(), strict=True):
+                if key != lane:
+                    lane, state = key, None
+                state, found = step(state, w)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, value)], names=[*by, order, name])
 
-def _fold(df: DataFrame, by: list[str], order: str, weight: Column, fits, name: str) -> DataFrame:
+    columns = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, order]]
+    return rows.mapInArrow(run, ", ".join([*columns, f"`{name}` {kind}"]))
+
+
+def _groups(df: DataFrame, by: list[str], order: str, weight: Column, fits: Callable, name: str) -> DataFrame:
     """Group numbers of a greedy fold: a row stays in its group while ``fits(weight so far, its own)``, else opens the next."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), weight.cast("bigint").alias("w"))))
-    grouped = df.groupBy(*by).agg(items.alias("items"))
-    kind = "struct<used:bigint,n:bigint,out:array<bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out")).cast(kind)
 
-    def step(acc, x):
-        stays = fits(acc["used"], x["w"]) | (F.size(acc["out"]) == 0)
-        n = F.when(stays, acc["n"]).otherwise(acc["n"] + 1)
-        used = F.when(stays, acc["used"] + x["w"]).otherwise(x["w"])
-        return F.struct(used.alias("used"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out")).cast(kind)
+    def step(state, x):
+        used, n = state or (0, 0)
+        if state is None or fits(used, x):
+            used = None if used is None or x is None else used + x
+        else:
+            used, n = x, n + 1
+        return (used, n), n
 
-    found = grouped.select(*by, "items", F.aggregate("items", zero, step)["out"].alias("out"))
-    flat = found.select(*by, F.explode(F.arrays_zip(F.col("items.o").alias("o"), F.col("out").alias("n"))).alias("x"))
-    return flat.select(*by, F.col("x.o").alias(order), F.col("x.n").alias(name))
+    return _fold(df, by, order, weight.cast("bigint"), step, name, "bigint")
 
 
 def batch_age(df: DataFrame, by: list[str], order: str, at: Column, most: int) -> DataFrame:
     """by, order, batch: a batch holds records at most ``most`` younger than its first; a later one opens the next batch."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), at.cast("bigint").alias("w"))))
-    grouped = df.groupBy(*by).agg(items.alias("items"))
-    kind = "struct<first:bigint,n:bigint,out:array<bigint>>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("first"), F.lit(-1).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out")).cast(kind)
 
-    def step(acc, x):
-        stays = F.coalesce(x["w"] - acc["first"] <= most, F.lit(False))
-        n = F.when(stays, acc["n"]).otherwise(acc["n"] + 1)
-        return F.struct(F.when(stays, acc["first"]).otherwise(x["w"]).alias("first"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out")).cast(kind)
+    def step(state, x):
+        first, n = state or (None, -1)
+        if first is None or x is None or x - first > most:
+            first, n = x, n + 1
+        return (first, n), n
 
-    found = grouped.select(*by, "items", F.aggregate("items", zero, step)["out"].alias("out"))
-    flat = found.select(*by, F.explode(F.arrays_zip(F.col("items.o").alias("o"), F.col("out").alias("n"))).alias("x"))
-    return flat.select(*by, F.col("x.o").alias(order), F.col("x.n").alias("batch"))
+    return _fold(df, by, order, at.cast("bigint"), step, "batch", "bigint")
 
 
 def batch_count(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
@@ -79,19 +97,13 @@ def shed_newest(df: DataFrame, by: list[str], order: str, budget: int) -> DataFr
 
 def token_bucket(df: DataFrame, by: list[str], order: str, at: Column, rate: float, burst: float) -> DataFrame:
     """by, order, wait: refill by elapsed time up to ``burst``, take one; below zero the wait is the lack over the rate. ``at`` in seconds."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), at.cast("double").alias("w"))))
-    grouped = df.groupBy(*by).agg(items.alias("items"))
-    kind = "struct<tokens:double,last:double,out:array<double>>"
-    zero = F.struct(F.lit(burst).cast("double").alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out")).cast(kind)
-
-    def step(acc, x):
-        full = F.least(F.lit(burst), acc["tokens"] + F.coalesce(x["w"] - acc["last"], F.lit(0.0)) * rate)
-        left = full - 1
-        return F.struct(left.alias("tokens"), x["w"].alias("last"), F.concat(acc["out"], F.array(F.when(left < 0, -left / rate).otherwise(F.lit(0.0)))).alias("out")).cast(kind)
-
-    found = grouped.select(*by, "items", F.aggregate("items", zero, step)["out"].alias("out"))
-    flat = found.select(*by, F.explode(F.arrays_zip(F.col("items.o").alias("o"), F.col("out").alias("n"))).alias("x"))
-    return flat.select(*by, F.col("x.o").alias(order), F.col("x.n").alias("wait"))
+
+    def step(state, x):
+        tokens, last = state or (burst, None)
+        left = min(burst, tokens + (0.0 if x is None or last is None else x - last) * rate) - 1
+        return (left, x), -left / rate if left < 0 else 0.0
+
+    return _fold(df, by, order, at.cast("double"), step, "wait", "double")
 
 
 def derive(df: DataFrame, parts: Column, key: str = "id") -> DataFrame:

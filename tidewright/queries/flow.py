@@ -12,10 +12,6 @@ FOLD = """WITH RECURSIVE r AS (SELECT lane, seq, {weight} AS w, row_number() OVE
  SELECT lane, seq, {out} FROM f"""
 
 
-def some(spark, sf_dir):
-    return events(spark, sf_dir).where("seq < 4000")
-
-
 @query(f"SELECT lane, seq, chunk, chunk = max(chunk) OVER (PARTITION BY lane) AS carries_position FROM (SELECT lane, seq, (row_number() OVER (PARTITION BY lane ORDER BY seq) - 1) // 500 AS chunk FROM {EVENTS})")
 def split_records(spark, sf_dir):
     return flow.split_records(events(spark, sf_dir), ["lane"], "seq", 500).select("lane", "seq", "chunk", "carries_position")
@@ -23,22 +19,22 @@ def split_records(spark, sf_dir):
 
 @query(FOLD.format(events=EVENTS, weight="length(body) * (1 + seq % 13)", init="w AS used, 0::BIGINT AS chunk", step="CASE WHEN f.used + r.w <= 400 THEN f.used + r.w ELSE r.w END, CASE WHEN f.used + r.w <= 400 THEN f.chunk ELSE f.chunk + 1 END", out="chunk"))
 def split_bytes(spark, sf_dir):
-    return flow.split_bytes(some(spark, sf_dir), ["lane"], "seq", F.length("body") * (1 + F.col("seq") % 13), 400)
+    return flow.split_bytes(events(spark, sf_dir), ["lane"], "seq", F.length("body") * (1 + F.col("seq") % 13), 400)
 
 
 @query(FOLD.format(events=EVENTS, weight="length(body)", init="w AS used, 0::BIGINT AS batch", step="CASE WHEN f.used < 200 THEN f.used + r.w ELSE r.w END, CASE WHEN f.used < 200 THEN f.batch ELSE f.batch + 1 END", out="batch"))
 def batch_bytes(spark, sf_dir):
-    return flow.batch_bytes(some(spark, sf_dir), ["lane"], "seq", F.length("body"), 200)
+    return flow.batch_bytes(events(spark, sf_dir), ["lane"], "seq", F.length("body"), 200)
 
 
 @query(FOLD.format(events=EVENTS, weight="tm", init="w AS first, 0::BIGINT AS batch", step="CASE WHEN r.w - f.first <= 600000000 THEN f.first ELSE r.w END, CASE WHEN r.w - f.first <= 600000000 THEN f.batch ELSE f.batch + 1 END", out="batch"))
 def batch_age(spark, sf_dir):
-    return flow.batch_age(some(spark, sf_dir), ["lane"], "seq", F.col("tm"), 600_000_000)
+    return flow.batch_age(events(spark, sf_dir), ["lane"], "seq", F.col("tm"), 600_000_000)
 
 
 @query(FOLD.format(events=EVENTS, weight="(seq // 4)::DOUBLE", init="4.0::DOUBLE AS tokens, w AS last", step="least(5.0, f.tokens + (r.w - f.last) * 0.5) - 1, r.w", out="CASE WHEN tokens < 0 THEN -tokens / 0.5 ELSE 0 END AS wait"))
 def token_bucket(spark, sf_dir):
-    return flow.token_bucket(some(spark, sf_dir), ["lane"], "seq", F.floor(F.col("seq") / 4), 0.5, 5.0)
+    return flow.token_bucket(events(spark, sf_dir), ["lane"], "seq", F.floor(F.col("seq") / 4), 0.5, 5.0)
 
 
 @query(f"SELECT lane, seq, (row_number() OVER (PARTITION BY lane ORDER BY seq) - 1) // 100 AS batch FROM {EVENTS}")
