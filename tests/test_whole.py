@@ -49,3 +49,15 @@ def test_fold_is_linear_in_a_lane(spark):
     rows = spark.range(300_000).select(F.lit(1).alias("lane"), F.col("id").alias("seq"))
     got = flow.split_bytes(rows, ["lane"], "seq", F.lit(1), 100).agg(F.count(F.lit(1)), F.max("chunk"), F.sum("chunk")).first()
     assert tuple(got) == (300_000, 2999, 100 * sum(range(3000)))
+
+
+def test_cas_apply_decides_every_write(spark):
+    rows = spark.read.parquet(f"{BIG}/events.parquet").select("event_id", "user_id", "event_type").collect()
+    versions, want = {}, []
+    for r in sorted(rows, key=lambda r: r.event_id):
+        version = versions.get(r.user_id, 0)
+        applied = r.event_id * 7 % 5 == version
+        versions[r.user_id] = (0 if r.event_type == "error" else version + 1) if applied else version
+        want.append((r.event_id, applied, versions[r.user_id]))
+    assert len(rows) > 3000
+    assert sorted(tuple(r) for r in QUERIES["cas_apply"](spark, BIG).select("seq", "applied", "version").collect()) == want
