@@ -61,3 +61,9 @@ def test_cas_apply_decides_every_write(spark):
         want.append((r.event_id, applied, versions[r.user_id]))
     assert len(rows) > 3000
     assert sorted(tuple(r) for r in QUERIES["cas_apply"](spark, BIG).select("seq", "applied", "version").collect()) == want
+
+
+def test_drift_program_reads_every_order(spark):
+    kinds = ("VARCHAR", "UBIGINT", "OBJECT")
+    want = sorted((r[0], kinds[r[0] % 3]) for r in spark.read.parquet(f"{BIG}/orders.parquet").select("o_orderkey").collect())
+    assert len(want) == 15_000 and sorted(tuple(r) for r in QUERIES["drift_program"](spark, BIG).collect()) == want

@@ -127,7 +127,7 @@ def shadow(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'VARCHAR' WHEN 1 THEN 'UBIGINT' ELSE 'OBJECT' END AS kind FROM orders WHERE o_orderkey < 1000")
 def drift_program(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     attr = F.when(F.col("id") % 3 == 0, F.lit('"text"')).when(F.col("id") % 3 == 1, F.lit("5")).otherwise(F.lit('{"a": 1}'))
     kind = F.regexp_extract(F.schema_of_variant(F.parse_json(attr)), "^[A-Z]+", 0)
     return o.select("id", F.when(kind == "STRING", "VARCHAR").when(kind == "BIGINT", "UBIGINT").otherwise(kind).alias("kind"))
