@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions.text import json_float
 from tidewright.operators import flow
 from tidewright.queries import QUERIES
 from tidewright.queries.base import events
@@ -67,3 +68,21 @@ def test_drift_program_reads_every_order(spark):
     kinds = ("VARCHAR", "UBIGINT", "OBJECT")
     want = sorted((r[0], kinds[r[0] % 3]) for r in spark.read.parquet(f"{BIG}/orders.parquet").select("o_orderkey").collect())
     assert len(want) == 15_000 and sorted(tuple(r) for r in QUERIES["drift_program"](spark, BIG).collect()) == want
+
+
+def test_encode_json_takes_large_ids(spark, tmp_path):
+    ids = [5, 999_999, 1_000_000, 2_000_000, 2_000_001, 2_400_000, 20_000_000, 20_000_001, 1 << 40]
+    rows = spark.createDataFrame([(i,) for i in ids], "event_id long")
+    rows = rows.select("event_id", F.lit("{}").alias("props"), F.lit("x").alias("event_type"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.json for r in QUERIES["encode_json"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ids
+    halves = ["2.5", "499999.5", "500000", "1e+06", "1.0000005e+06", "1.2e+06", "1e+07", "1.00000005e+07", "5.49755813888e+11"]
+    assert [got[i].split('"half":')[1].split(",")[0] for i in ids] == halves
+
+
+def test_json_float_is_the_shortest_form(spark):
+    want = {0.0: "0", 1.5: "1.5", -7.0: "-7", 999999.5: "999999.5", 1e6: "1e+06", -1234567.25: "-1.23456725e+06", 1e10: "1e+10", 1.5e100: "1.5e+100", 0.001: "0.001",
+            0.0001: "0.0001", -0.00025: "-0.00025", 0.00001: "1e-05", 2.5e-12: "2.5e-12"}
+    got = spark.createDataFrame([(x,) for x in want], "x double").select("x", json_float(F.col("x"))).collect()
+    assert {r[0]: r[1] for r in got} == want

@@ -70,9 +70,15 @@ def json_time(micros: Column) -> Column:
 
 
 def json_float(x: Column) -> Column:
-    """Shortest form; whole numbers of a million and more in exponent form, as the encoder's contract pins."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e6)
-    return F.when(whole, F.floor(x).cast("bigint").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E([0-9])$", "e+0$1"))
+    """Shortest digits, in exponent form (two exponent digits at least) from a million on and below 1e-4, as the encoder's contract pins."""
+    text, size = x.cast("string"), F.abs(x)
+    million = F.concat(F.regexp_replace(F.regexp_replace(text, r"^(-?\d)(\d{6})\.(\d+)$", "$1.$2$3"), r"\.?0+$", ""), F.lit("e+06"))
+    small = F.concat(F.when(x < 0, "-0.000").otherwise("0.000"), F.regexp_replace(F.regexp_replace(text, r"^-?(\d)\.(\d+)E-4$", "$1$2"), "0+$", ""))
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "e+$1"), "E-", "e-")
+    power = F.regexp_replace(power, r"(?<=e[+-])(\d)$", "0$1")
+    plain = F.regexp_replace(text, r"\.0$", "")
+    usual = (x == 0) | ((size >= 1e-3) & (size < 1e6))
+    return F.when(usual, plain).when((size >= 1e7) | (size < 1e-4), power).when(size >= 1e6, million).otherwise(small)
 
 
 def json_object(fields: dict[str, Column], optional: set[str] = frozenset()) -> Column:
