@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 from .suffix_dedup import Hasher
 
 BUCKET_BITS, DIM, SIZES = 18, 8, (3, 4, 5, 6)
-#: Most words whose scores a worker keeps; then it starts afresh.
-CACHE_WORDS = 400_000
+#: Most words whose scores a worker keeps, and characters of them; then it starts afresh.
+CACHE_WORDS, CACHE_CHARS = 400_000, 16_000_000
+#: Characters of words whose n-grams are held at a time, and bytes of one part of a longer word.
+BATCH_CHARS, PART = 1 << 19, 1 << 14
 
 find_words = re.compile(r"[^\W_]+").findall
 find_letter_words = re.compile(r"[^\W\d_]+").findall
@@ -25,7 +27,7 @@ find_letter_words = re.compile(r"[^\W\d_]+").findall
 
 def ngrams(words: list[str], hasher: Hasher | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all n-grams of all words in order, number for each word); a word's ends are part of it."""
-    parts = [b"\x01" + w.encode("utf-8", "replace")[:200] + b"\x02" for w in words]
+    parts = [b"\x01" + w.encode("utf-8", "replace") + b"\x02" for w in words]
     data = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.array([len(p) for p in parts])
     hasher = hasher or Hasher(len(data), 9)
@@ -43,6 +45,41 @@ def ngrams(words: list[str], hasher: Hasher | None = None) -> tuple[np.ndarray,
     return found[order], np.bincount(owners, minlength=len(parts))
 
 
+def batches(words: list[str], most: int) -> Iterator[list[str]]:
+    """Words in order, at most ``most`` and some BATCH_CHARS characters at a time; a longer word comes alone."""
+    start, chars = 0, 0
+    for n, w in enumerate(words):
+        if n > start and (n - start >= most or chars + len(w) > BATCH_CHARS):
+            yield words[start:n]
+            start, chars = n, 0
+        chars += len(w)
+    if words:
+        yield words[start:]
+
+
+def means(words: list[str], table: np.ndarray) -> np.ndarray:
+    """Mean row of ``table`` over the n-grams of each word."""
+    if len(words) == 1 and len(words[0]) > PART:
+        return long_mean(words[0], table)[None]
+    grams, counts = ngrams(words)
+    return np.add.reduceat(table[grams], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+
+
+def long_mean(word: str, table: np.ndarray) -> np.ndarray:
+    """The same of one long word, summed over parts: an n-gram counts in the part where it begins, so parts overlap."""
+    data = np.frombuffer(b"\x01" + word.encode("utf-8", "replace") + b"\x02", np.uint8)
+    hasher = Hasher(PART + max(SIZES), 9)
+    total, count = np.zeros(table.shape[1]), 0
+    for start in range(0, len(data), PART):
+        part = data[start : start + PART + max(SIZES) - 1]
+        sums = hasher.sums(part)
+        for n in SIZES:
+            at = np.arange(max(0, min(PART, len(part) - n + 1)))
+            total += table[(hasher.of(sums, at, at + n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].sum(axis=0, dtype=np.float64)
+            count += len(at)
+    return total / count
+
+
 class Bags:
     """Training bags over one vocabulary of words, as flat arrays: a driver holds hundreds of thousands of them."""
 
@@ -54,7 +91,7 @@ class Bags:
             ends.append(len(flat))
         self.flat, self.ends = np.array(flat, np.int32), np.array(ends, np.int64)
         words = list(index)
-        parts = [ngrams(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
+        parts = [ngrams(some) for some in batches(words, 20_000)]
         self.grams = np.concatenate([np.zeros(0, np.int32), *(g.astype(np.int32) for g, _ in parts)])
         self.counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
         self.starts = np.cumsum(self.counts) - self.counts
@@ -122,22 +159,22 @@ class WordScores(dict):
 
     def __init__(self, table: np.ndarray):
         super().__init__()
-        self.table = table
+        self.table, self.chars = table, 0
         self.scores = np.zeros((0, table.shape[1]), np.float32)
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Scores of the words of each text, in order."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.clear()
+            self.chars = 0
             self.scores = self.scores[:0]
         new = list({w for words in texts for w in words if w not in self})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            grams, counts = ngrams(some)
-            means = np.add.reduceat(self.table[grams], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+        for some in batches(new, 50_000):
+            found = means(some, self.table)
             for n, w in enumerate(some, len(self)):
                 self[w] = n
-            self.scores = np.concatenate([self.scores, means.astype(np.float32)])
+                self.chars += len(w)
+            self.scores = np.concatenate([self.scores, found.astype(np.float32)])
         return [self.scores[np.fromiter(map(self.__getitem__, words), np.int64, len(words))] for words in texts]
 
 
