@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .storage import materialize
 
-#: Most queues: totals of this many are small enough for the driver. With more sources, queues hold hash classes of them.
+#: From so many sources on, totals and places are kept in tables instead of the driver; the pieces are the same.
 MAX_QUEUES = 4096
 
 
@@ -89,6 +89,45 @@ class Schedule:
             w += 1
 
 
+class Clock:
+    """The same schedule for any number of queues: what each has been served follows from its own total, its weight and the window.
+
+    A queue of weight k has been served the floor of k times the window's level, until it runs dry; levels follow from how many queues
+    there are of each weight and total. Queues of weight 0 have a level of their own, once the others are dry.
+    """
+
+    def __init__(self, counts: list[tuple[int, int, int]], window: int):
+        self.windows = -(-sum(n * k for _, n, k in counts) // window)
+        first = sum(n * k for weight, n, k in counts if weight)
+        starts = [w * window for w in range(self.windows)]
+        self.weighted = self._levels([c for c in counts if c[0]], starts)
+        self.last = self._levels([(1, n, k) for weight, n, k in counts if not weight], [max(0, x - first) for x in starts])
+
+    @staticmethod
+    def _levels(counts: list[tuple[int, int, int]], starts: list[int]) -> list[tuple[int, int] | None]:
+        counts = sorted(counts, key=lambda c: Fraction(c[1], c[0]))
+        alive, dry, at, out = sum(weight * k for weight, _, k in counts), 0, 0, []
+        for x in starts:
+            while at < len(counts) and counts[at][1] * alive <= counts[at][0] * (x - dry):
+                weight, n, k = counts[at]
+                alive, dry, at = alive - weight * k, dry + n * k, at + 1
+            out.append((x - dry, alive) if alive else None)
+        return out
+
+    def served(self, total: int, weight: int, w: int) -> int:
+        level = None if w >= self.windows else (self.weighted if weight else self.last)[w]
+        return total if level is None else min(total, (weight or 1) * level[0] // level[1])
+
+    def slices(self, total: int, weight: int, start: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """(window, position in the queue, length) of the slices of ``length`` tokens from ``start`` on."""
+        end = start + length
+        while start < end:
+            w = bisect_right(range(self.windows), start, key=lambda w: self.served(total, weight, w)) - 1
+            stop = min(end, self.served(total, weight, w + 1))
+            yield w, start, stop - start
+            start = stop
+
+
 def mixture_pack(
     df: DataFrame,
     vocabulary_path: str,
@@ -107,15 +146,11 @@ def mixture_pack(
     tokens by source (default: the sources' own totals, so that every window has the corpus's mix to within one token).
     Null text: empty, so one id. Null source: a queue of its own. A null id is kept. Repeated rows are separate documents.
     An empty table gives no rows. Texts of any length are cut at sequence and window ends. Other columns are not read.
-    Over MAX_QUEUES sources, sources share queues by hash (then only ``weights=None`` is allowed).
+    Every source has its own queue, however many there are.
     """
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("queue"))
     many = docs.select("queue").distinct().limit(MAX_QUEUES).count() >= MAX_QUEUES
-    if many:
-        if weights:
-            raise ValueError(f"weights need fewer than {MAX_QUEUES} sources")
-        docs = docs.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES - 1)).cast("string"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, done = bpe.encoder(vocabulary_path), TaskContext.get().partitionId(), {}
@@ -139,13 +174,21 @@ def mixture_pack(
     schema = f"id {kind}, queue string, part int, start long, n long, wide boolean, ids binary"
     stored = materialize(docs.mapInArrow(tokenize, schema), "ids")
     totals = stored.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    whole = sorted(((r.queue, r.n) for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0]))
-    names = {q: s for s, (q, _) in enumerate(whole)}
-    plan = ([n for _, n in whole], [weights.get(q, 0) for q, _ in whole] if weights else None, sequence * window_sequences)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = stored.join(bases, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
 
+    fields = pa.schema([
+        (id_col, batch_type(df, id_col)), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
+        ("sequence_id", pa.int64()), ("offset", pa.int64()), ("queue", pa.string()),
+    ])
+    out = f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string"
+    if many:
+        return _cut_by_table(placed, totals, weights, sequence, sequence * window_sequences, kind, fields, out)
+    whole = sorted(((r.queue, r.n) for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0]))
+    names = {q: s for s, (q, _) in enumerate(whole)}
+    plan = ([n for _, n in whole], [weights.get(q, 0) for q, _ in whole] if weights else None, sequence * window_sequences)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(*plan)
         for batch in batches:
@@ -163,14 +206,69 @@ def mixture_pack(
                             start, place, length = start + take, place + take, length - take
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, fields, strict=True)], schema=fields)
 
-    fields = pa.schema([
-        (id_col, batch_type(df, id_col)), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
-        ("sequence_id", pa.int64()), ("offset", pa.int64()), ("queue", pa.string()),
-    ])
-    out = f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string"
     return placed.select("id", "queue", "start", "n", "wide", "ids", "base").mapInArrow(cut, out)
 
 
+def _cut_by_table(placed: DataFrame, totals: DataFrame, weights: dict[str, int] | None, sequence: int, window: int, kind: str, fields: pa.Schema, out: str) -> DataFrame:
+    """The pieces of ``placed`` documents; totals, weights and places of all sources are joined from tables."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            queues, ns = (c.to_pylist() for c in batch.columns)
+            ks = [max(0, weights.get(q, 0)) for q in queues] if weights else ns
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ks, pa.int64())], names=["q", "total", "weight"])
+
+    sums = totals.groupBy("queue").agg(F.sum("n").alias("total"))
+    sources = materialize(sums.mapInArrow(weigh, "q string, total long, weight long"), "sources")
+    # at most some square root of all tokens for each weight, as that many different totals need that many tokens
+    clock = Clock([(r.weight, r.total, r.k) for r in sources.groupBy("weight", "total").agg(F.count(F.lit(1)).alias("k")).collect()], window)
+
+    def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, total, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ws, starts, lengths = zip(*clock.slices(total, weight, 0, total), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(ws), pa.string()), pa.array(ws, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["q", "w", "first", "taken"])
+
+    slices = materialize(sources.mapInArrow(slice_up, "q string, w long, first long, taken long"), "slices")
+    earlier = lambda w: F.coalesce(F.sum("taken").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    windows = slices.groupBy("w").agg(F.sum("taken").alias("taken")).select(F.col("w").alias("_w"), earlier(Window.orderBy("w")).alias("whole"))  # one row a window
+    inside = slices.withColumn("inside", earlier(Window.partitionBy("w").orderBy(F.col("q").asc_nulls_first())))
+    places = inside.join(windows, F.col("w") == F.col("_w")).select(F.col("q").alias("_q"), F.col("w").alias("_w"), (F.col("whole") + F.col("inside") - F.col("first")).alias("shift"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                rows: list[list] = [[] for _ in range(7)]
+                for row in batch.slice(at, 256).to_pylist():
+                    ids = row["ids"] if row["wide"] else np.frombuffer(row["ids"], "<u2").astype("<u4").tobytes()
+                    first = row["base"] + row["start"]
+                    for w, position, length in clock.slices(row["total"], row["weight"], first, row["n"]):
+                        a = position - first
+                        for column, x in zip(rows, (row["id"], row["queue"], w, position, a, ids[4 * a : 4 * (a + length)], row["n"]), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, parts, strict=True)], names=["id", "queue", "w", "position", "a", "ids", "n"])
+
+    parts = [fields.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    known = placed.join(sources.withColumnRenamed("q", "_s"), F.col("queue").eqNullSafe(F.col("_s"))).select("id", "queue", "start", "n", "wide", "ids", "base", "total", "weight")
+    found = known.mapInArrow(split, f"id {kind}, queue string, w long, position long, a long, ids binary, n long")
+    found = found.join(places, F.col("queue").eqNullSafe(F.col("_q")) & (F.col("w") == F.col("_w"))).withColumn("place", F.col("shift") + F.col("position"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                rows: list[list] = [[] for _ in range(8)]
+                for row in batch.slice(at, 256).to_pylist():
+                    done, place, length = 0, row["place"], len(row["ids"]) // 4
+                    while done < length:
+                        take = min(length - done, sequence - place % sequence)
+                        for column, x in zip(rows, (row["id"], row["a"] + done, take, row["ids"][4 * done : 4 * (done + take)], row["n"], place // sequence, place % sequence, row["queue"]), strict=True):
+                            column.append(x)
+                        done, place = done + take, place + take
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, fields, strict=True)], schema=fields)
+
+    return found.select("id", "queue", "a", "ids", "n", "place").mapInArrow(cut, out)
+
+
 def batch_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
