@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword vectors under a linear softmax, with calibrated rejection.
 
 Softmax probabilities are calibrated by one temperature, fitted on texts kept apart; the rejection threshold is the least score at
-which accepted texts of that part reach the wanted accuracy, but never below one half.
+which accepted texts of that part reach the wanted accuracy, but never below one half, nor so high (above one half) that it
+rejects more than a share REJECTED of that part's correct texts: a few wrong labels don't empty a corpus.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .toxicity import held_out
 #: Bounds on the sample a model is fitted on: languages, texts of each, words of one text (in bags of BAG words).
 LANGUAGES, SAMPLE_TEXTS, SAMPLE_CHARS, BAG = 200, 400, 20_000, 24
 UNKNOWN = "und"
+#: Most of the correct texts kept apart that the threshold may reject.
+REJECTED = 0.05
 
 
 @dataclass
@@ -81,9 +84,13 @@ def fit(sample: list[tuple[str, str]], accuracy: float = 0.99, seed: int = 5) ->
         result.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
         p = result.probabilities(logits)
         order = np.argsort(-p.max(axis=1))
-        right = np.cumsum((p.argmax(axis=1) == truth)[order]) / np.arange(1, len(use) + 1)
+        correct = p.argmax(axis=1) == truth
+        right = np.cumsum(correct[order]) / np.arange(1, len(use) + 1)
         good = np.flatnonzero(right >= accuracy)
         lowest = float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0
+        if correct.any():
+            sure = np.sort(p.max(axis=1)[correct])
+            lowest = min(lowest, float(sure[int(REJECTED * len(sure))]))
         result.threshold = 0.5 if len(good) and good[-1] + 1 == len(use) else max(0.5, lowest)
     return result
 
