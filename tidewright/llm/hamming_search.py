@@ -8,7 +8,7 @@ can be missing. Rows of equal code are one entry, which keeps its least k+1 ids:
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
+#: Most bits of a segment, whatever the table's size.
+WIDEST = 32
+
 
 def sign_code(embedding: Column, bits: int = 64) -> Column:
     """Bit i is set where entry i is positive; null for a null embedding, one of another length, or one with a null entry."""
@@ -36,41 +39,52 @@ def nearest_codes(df: DataFrame, queries: Column, k: int = 10, bits: int = 64, i
     ids = rows.select("code", "id").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1)
     entries = materialize(ids.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     size = entries.count()
-    m = max(1, min(bits, round(bits / max(4.0, log2(max(2, size))))))
+    m = max(-(-bits // WIDEST), min(bits, round(bits / max(4.0, log2(max(2, size))))))
     cuts = [bits * s // m for s in range(m + 1)]
-    segment = lambda code, s: F.call_function("shiftrightunsigned", code, F.lit(cuts[s])).bitwiseAND(F.lit((1 << (cuts[s + 1] - cuts[s])) - 1).cast("bigint"))
-    parts = F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("code"), s).alias("v")) for s in range(m)])
-    index = materialize(entries.select("code", F.explode(parts).alias("p")).select("code", "p.s", "p.v"), "index")
+    widths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+    segment = lambda code, s: F.call_function("shiftrightunsigned", code, F.lit(cuts[s])).bitwiseAND(F.lit((1 << widths[s]) - 1).cast("bigint"))
+    parts = lambda code: F.explode(F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col(code), s).alias("v")) for s in range(m)])).alias("p")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = materialize(entries.repartition(tasks, "code").select("code", "ids", parts("code")).select("code", "ids", "p.s", "p.v"), "index")
     asked = materialize(rows.where("asks").select(F.col("id").alias("q"), F.col("code").alias("qc")).distinct(), "asked")
-    open_, found, done = asked, None, []
-    for radius in range(max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) + 1):
-        flips = [F.array(*[F.lit(sum(1 << b for b in bits_)).cast("bigint") for bits_ in combinations(range(cuts[s + 1] - cuts[s]), radius)]) for s in range(m)]
-        probes = open_.select("qc").distinct().select("qc", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("qc"), s).alias("v0"), flips[s].alias("flips")) for s in range(m) if radius <= cuts[s + 1] - cuts[s]])).alias("p"))
-        probes = probes.select("qc", "p.s", "p.v0", F.explode("p.flips").alias("flip")).select("qc", "s", F.col("v0").bitwiseXOR(F.col("flip")).alias("v"))
-        met = probes.join(index, ["s", "v"]).select("qc", "code").distinct()
-        met = met.select("qc", "code", F.bit_count(F.col("qc").bitwiseXOR(F.col("code"))).alias("distance"))
-        met = met if found is None else met.unionByName(found).distinct()
-        # of the codes met, the k+1 nearest by (distance, least id) hold every answer met so far
-        near = Window.partitionBy("qc").orderBy("distance", "least", "code")
-        met = met.join(entries.select("code", F.col("ids")[0].alias("least")), "code").withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
-        found = materialize(met.select("qc", "code", "distance"), f"found{radius}")
-        answers = open_.join(found, "qc").join(entries, "code").select("q", "qc", "distance", F.explode("ids").alias("neighbor_id")).where("neighbor_id <> q")
-        by = Window.partitionBy("q").orderBy("distance", "neighbor_id")
-        answers = materialize(answers.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), f"answers{radius}")
+    # of the codes met, the k+1 nearest by (distance, least id) hold every answer met so far; a code met twice counts once
+    near, of_query = Window.partitionBy("qc").orderBy("distance", F.col("ids")[0], "code"), Window.partitionBy("qc")
+    found, done = asked.select("qc").distinct(), []
+    for radius in range(max(widths) + 1):
+        probes = found.select("qc").distinct().repartition(tasks, "qc").select("qc", parts("qc")).select("qc", "p.s", "p.v")
+        met = _values(probes, widths, radius).join(index.hint("merge"), ["s", "v"])
+        met = met.select("qc", "code", "ids", F.bit_count(F.col("qc").bitwiseXOR(F.col("code"))).alias("distance"))
+        met = met.unionByName(found.select(met.columns)) if radius else met
+        met = met.withColumn("n", F.dense_rank().over(near)).where(F.col("n") <= k + 1).dropDuplicates(["qc", "code"])
+        # a query's own row is met too, so k others are sure where k+1 ids lie within what this radius covers
         covered = m * (radius + 1) - 1
-        closed = answers.groupBy("q").agg(F.count(F.lit(1)).alias("c"), F.max("distance").alias("d")).where((F.col("c") == k) & (F.col("d") <= covered)).select("q")
-        if covered >= bits or radius == max(b - a for a, b in zip(cuts, cuts[1:], strict=False)):
-            done.append(answers)
+        sure = F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).over(of_query) >= k + 1
+        found = materialize(met.select("qc", "code", "ids", "distance", sure.alias("closed")), f"found{radius}")
+        if covered >= bits or radius == max(widths):
+            done.append(found)
             break
-        done.append(answers.join(closed, "q", "left_semi"))
-        open_ = materialize(open_.join(closed, "q", "left_anti"), f"open{radius}")
-        if not open_.limit(1).count():
+        done.append(found.where("closed"))
+        found = found.where(~F.col("closed"))
+        if found.isEmpty():
             break
-        found = found.join(open_.select("qc").distinct(), "qc", "left_semi")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select(F.col("q").alias("query_id"), F.col("rank").cast("int"), "neighbor_id", F.col("distance").cast("int"))
+    out = reduce(DataFrame.unionByName, done)
+    answers = asked.join(out.hint("merge"), "qc").select("q", "distance", F.explode("ids").alias("neighbor_id")).where("neighbor_id <> q")
+    by = Window.partitionBy("q").orderBy("distance", "neighbor_id")
+    answers = answers.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return answers.select(F.col("q").alias("query_id"), F.col("rank").cast("int"), "neighbor_id", F.col("distance").cast("int"))
+
+
+def _values(probes: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """(qc, s, v) with ``radius`` bits of v flipped in every way: each step flips one bit above those flipped before, so that the
+    plan has one generator for each bit and no list of masks."""
+    width = F.element_at(F.array(*map(F.lit, widths)), F.col("s") + 1)
+    probes = probes.withColumn("top", F.lit(-1))
+    for left in range(radius, 0, -1):  # so many bits are still to be flipped, this one with them
+        wide = probes.where(F.col("top") + left < width)
+        wide = wide.select("qc", "s", "v", F.explode(F.sequence(F.col("top") + 1, width - left)).alias("bit"))
+        flipped = F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")))
+        probes = wide.select("qc", "s", flipped.alias("v"), F.col("bit").alias("top"))
+    return probes.select("qc", "s", "v")
 
 
 SEARCH_SQL = """
