@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import flow
 from .base import EVENTS, events, query
 
-FOLD = """WITH RECURSIVE r AS (SELECT lane, seq, {weight} AS w, row_number() OVER (PARTITION BY lane ORDER BY seq) AS rn FROM {events} WHERE seq < 4000),
+FOLD = """WITH RECURSIVE r AS (SELECT lane, seq, {weight} AS w, row_number() OVER (PARTITION BY lane ORDER BY seq) AS rn FROM {events}),
  f AS (SELECT lane, rn, seq, {init} FROM r WHERE rn = 1 UNION ALL SELECT r.lane, r.rn, r.seq, {step} FROM f JOIN r ON r.lane = f.lane AND r.rn = f.rn + 1)
  SELECT lane, seq, {out} FROM f"""
 

@@ -145,11 +145,12 @@ def encode_raw(spark, sf_dir):
 
 
 JSON_SQL = """'{"at":"' || regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || 'Z","half":'
- || (CASE WHEN event_id % 2 = 0 THEN (event_id // 2)::VARCHAR ELSE (event_id // 2)::VARCHAR || '.5' END) || ',"id":' || event_id
+ || (CASE WHEN event_id >= 2000000 THEN rtrim(rtrim(substr((event_id * 5)::VARCHAR, 1, 1) || '.' || substr((event_id * 5)::VARCHAR, 2), '0'), '.') || 'e+' || lpad((length((event_id * 5)::VARCHAR) - 2)::VARCHAR, 2, '0')
+ WHEN event_id % 2 = 0 THEN (event_id // 2)::VARCHAR ELSE (event_id // 2)::VARCHAR || '.5' END) || ',"id":' || event_id
  || (CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"opt":"' || event_type || '"' END) || ',"text":"' || replace(replace('a\\b' || props, '\\', '\\\\'), '"', '\\"') || '\\n"}'"""
 
 
-@query(f"SELECT event_id, {JSON_SQL} AS json FROM events WHERE event_id < 1000000")
+@query(f"SELECT event_id, {JSON_SQL} AS json FROM events")
 def encode_json(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", _json().alias("json"))
