@@ -12,8 +12,13 @@ def encode_raw(body: Column) -> Column:
 
 
 def decimal_text(unscaled: Column, scale: int) -> Column:
-    """Plain digits of an integer times 10**-scale."""
-    return unscaled.cast(f"decimal(38,0)").cast("string") if scale <= 0 else (unscaled.cast("decimal(28,0)") / F.lit(10**scale).cast("decimal(28,0)")).cast(f"decimal(38,{scale})").cast("string")
+    """Plain digits of an integer times 10**-scale, by text: any number of digits, zeros appended where the scale is negative."""
+    digits = F.regexp_replace(unscaled.cast("string"), "^-", "")
+    sign = F.when(unscaled.cast("string").startswith("-"), "-").otherwise("")
+    if scale <= 0:
+        return F.when(digits == "0", "0").otherwise(F.concat(sign, digits, F.lit("0" * -scale)))
+    wide = F.lpad(digits, F.greatest(F.length(digits), F.lit(scale + 1)), F.lit("0"))
+    return F.concat(sign, F.substr(wide, F.lit(1), F.length(wide) - scale), F.lit("."), F.right(wide, F.lit(scale)))
 
 
 def frame_lines(df: DataFrame, by: list[str], order: str, line: Column) -> DataFrame:

@@ -37,10 +37,18 @@ def resolve(path: list[str], doc: Column, envelope: dict[str, Column] | None = N
     if len(path) == 3 and path[0] == "meta" and meta is not None:
         c = F.get(F.filter(meta, lambda m: (m["ns"] == path[1]) & (m["key"] == path[2])), F.lit(0))["value"]
         return Value(c.isNotNull(), F.lit(False), F.lit("string"), c.cast("string"))
-    where = "$" + "".join(f"['{p}']" for p in path)
-    found = F.try_variant_get(doc, where, "variant")
+    found = doc
+    for segment in path:
+        found = member(found, segment)
     kind = F.regexp_extract(F.schema_of_variant(found), r"^[A-Z]+", 0)
-    return Value(found.isNotNull(), F.is_variant_null(found), kind, F.try_variant_get(doc, where, "string"))
+    return Value(found.isNotNull(), F.is_variant_null(found), kind, F.try_variant_get(found, "$", "string"))
+
+
+def member(doc: Column, name: str) -> Column:
+    """A member of an object by any name; names that a path expression cannot hold are looked up in the object as a map."""
+    if name and not re.search(r"['\\?]", name):
+        return F.try_variant_get(doc, f"$['{name}']", "variant")
+    return F.get(F.map_values(F.map_filter(F.try_variant_get(doc, "$", "map<string,variant>"), lambda k, _: k == name)), F.lit(0))
 
 
 def literal(value: Any) -> Value:

@@ -98,7 +98,7 @@ def clock(df: DataFrame, policy: str, now: Column, max_skew: int, at: str = "at"
         out = out.withColumn(at, F.when(ahead, now + max_skew).otherwise(F.col(at)))
         return out.withColumn("note", F.when(ahead, F.lit("rounded")))
     if policy == "reject":
-        return out.withColumn("fault", F.when(ahead, F.lit("clock_skew")))
+        return out.withColumn("fault", F.coalesce(F.col("fault"), F.when(ahead, F.lit("clock_skew"))) if "fault" in df.columns else F.when(ahead, F.lit("clock_skew")))
     return out
 
 
