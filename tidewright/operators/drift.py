@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import last_mark
+
 #: Fixed values.
 KINDS = ("create_stream", "add_field", "drop_field", "rename_field", "alter_field_type", "alter_nullability", "alter_keys", "truncate_stream", "drop_stream", "rename_stream")
 DESTRUCTIVE = ("drop_field", "alter_field_type", "truncate_stream", "drop_stream")
@@ -44,8 +46,5 @@ def apply_changes(df: DataFrame, changes: list[dict], policy: str = "evolve") ->
 
 
 def as_of(rows: DataFrame, history: DataFrame, by: str, epoch: str, value: str) -> DataFrame:
-    """``value`` of the newest history entry at or before each row's epoch: one ordered pass over rows and entries of a stream."""
-    entries = history.select(by, F.col(epoch), F.col(value).alias("_v"), F.lit(0).alias("_o"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in (by, epoch)])
-    asked = rows.select("*", F.lit(None).cast(history.schema[value].dataType).alias("_v"), F.lit(1).alias("_o"))
-    w = Window.partitionBy(by).orderBy(epoch, "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.unionByName(asked).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_o = 1").select(*rows.columns, value)
+    """``value`` of the newest history entry at or before each row's epoch; rows of one stream are worked on span by span of epochs."""
+    return last_mark(rows, history, [by], epoch, value)

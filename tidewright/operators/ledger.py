@@ -14,16 +14,19 @@ def before(by: list[str], order: str):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def first_unresolved(df: DataFrame, by: list[str], order: str, resolved: Column) -> DataFrame:
+    """by, _stop: the least order in each lane that is not resolved (null: all are); combined before the shuffle."""
+    return df.groupBy(*by).agg(F.min(F.when(~F.coalesce(resolved, F.lit(False)), F.col(order))).alias("_stop"))
+
+
 def with_prefix(df: DataFrame, by: list[str], order: str, resolved: Column) -> DataFrame:
-    """in_prefix: the row and all before it in its lane are resolved (delivered, duplicate or abandoned)."""
-    return df.withColumn("in_prefix", F.min(F.coalesce(resolved, F.lit(False)).cast("int")).over(up_to(by, order)) == 1)
+    """in_prefix: the row and all before it in its lane are resolved (delivered, duplicate or abandoned). One row a lane is joined back."""
+    out = df.join(first_unresolved(df, by, order, resolved), by)
+    return out.withColumn("in_prefix", F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
 
 
 def commit_position(df: DataFrame, by: list[str], order: str, resolved: Column, safe: Column) -> DataFrame:
-    """Per lane the end of the resolved prefix, and the last safe position at or before it (null where there is none).
-
-    The window is as long as a lane; a lane is the unit of progress and its open window is bounded by its budget.
-    """
+    """Per lane the end of the resolved prefix, and the last safe position at or before it (null where there is none): aggregates only."""
     p = with_prefix(df, by, order, resolved)
     return p.groupBy(*by).agg(F.max(F.when(F.col("in_prefix"), F.col(order))).alias("resolved_to"), F.max(F.when(F.col("in_prefix") & safe, F.col(order))).alias("commit_to"))
 
@@ -34,6 +37,25 @@ def replay_window(df: DataFrame, by: list[str], order: str, resolved: Column, sa
     return df.join(at, by).groupBy(*by).agg(F.count_if(F.col("commit_to").isNull() | (F.col(order) > F.col("commit_to"))).alias("replay"))
 
 
+def settle_each(df: DataFrame, by: list[str], outcome: Column) -> DataFrame:
+    """Discrete acknowledgement: by, outcome (delivered or abandoned), records, first, last of what has ended, whatever stands before it; a
+    record that has not ended yet is left out. Ids stay rows: nothing is gathered."""
+    ended = df.withColumn("outcome", outcome).where(F.col("outcome").isNotNull())
+    return ended
+
+
+def idle_lanes(df: DataFrame, by: list[str], at: str, timeout: int) -> DataFrame:
+    """by, idle: the lane's last record came ``timeout`` or more before the newest of all lanes."""
+    last = df.groupBy(*by).agg(F.max(at).alias("_last"))
+    return last.select(*by, (last.agg(F.max("_last")).scalar() - F.col("_last") >= timeout).alias("idle"))
+
+
+def latest(df: DataFrame, key: list[str], order: str, gone: Column, *columns: str) -> DataFrame:
+    """Compaction: of each key the last entry, unless it is a deletion; combined before the shuffle."""
+    last = df.groupBy(*key).agg(F.max_by(F.struct(gone.alias("_gone"), *columns), order).alias("_x"), F.max(order).alias("version"))
+    return last.where(~F.col("_x._gone")).select(*key, *[F.col(f"_x.{c}") for c in columns], "version")
+
+
 def monotone_commits(df: DataFrame, by: list[str], step: str, seq: str, order_key: str) -> DataFrame:
     """flushes: a commit is written only if both its sequence and (where comparable) its order passed all earlier ones."""
     w = before(by, step)

@@ -5,43 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import last_mark, span_of
 
-def chunk_plan(keys: DataFrame, key: str, rows: int) -> DataFrame:
+
+def chunk_plan(keys: DataFrame, key: str, rows: int, width: int | None = None) -> DataFrame:
     """ord, lo (inclusive), hi (exclusive, null: open), est: a boundary every ``rows`` keys.
 
-    Keys are numbered within range partitions whose sizes are summed first, so no single task sorts the table.
+    Keys are dealt to spans of ``width`` (64 chunks of dense keys, if not given) and numbered inside them; sizes of spans are summed first, one
+    row a span, so no single task sorts the table. What a key's number is depends on keys alone, not on how they are partitioned.
     """
-    parted = keys.select(key).repartitionByRange(F.col(key)).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("_p"))
-    local = parted.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    ranked = local.join(F.broadcast(starts), "_p").withColumn("ord", F.floor((F.col("_before") + F.col("_r") - 1) / rows).cast("bigint"))
+    spanned = keys.select(key).withColumn("_s", span_of(keys, key, width or 64 * rows))
+    sizes = spanned.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = spanned.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(key)))
+    ranked = local.join(starts, "_s").withColumn("ord", F.floor((F.col("_before") + F.col("_r") - 1) / rows).cast("bigint"))
     chunks = ranked.groupBy("ord").agg(F.min(key).alias("lo"), F.count(F.lit(1)).alias("est"))
-    return chunks.select("ord", "lo", F.lead("lo").over(Window.orderBy("ord")).alias("hi"), "est")  # one row a chunk
+    following = chunks.select((F.col("ord") - 1).alias("ord"), F.col("lo").alias("hi"))
+    return chunks.join(following, "ord", "left").select("ord", "lo", "hi", "est")
 
 
 def backfill(snapshot: DataFrame, changes: DataFrame, key: str, low: int, high: int, pos: str = "pos") -> DataFrame:
-    """Snapshot rows whose key did not change within (low, high]."""
+    """Snapshot rows of one chunk whose key did not change within (low, high]."""
     return snapshot.join(changes.where((F.col(pos) > low) & (F.col(pos) <= high)).select(key).distinct(), key, "left_anti")
 
 
-def tail_verdict(changes: DataFrame, chunks: DataFrame, key: str, pos: str, planned: Column) -> DataFrame:
-    """verdict of each change by the chunk that holds its key: wait (no high mark yet), emit (after it), drop.
+def in_chunk(rows: DataFrame, chunks: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``rows`` with ``_in``, a struct of lo, hi and ``columns`` of the chunk that holds the key; null where none does. Chunks do not overlap."""
+    marks = chunks.select(F.col("lo").alias(key), F.struct("lo", "hi", *columns).alias("_in"))
+    held = last_mark(rows, marks, [], key, "_in")
+    inside = F.col("_in").isNotNull() & (F.col("_in.hi").isNull() | (F.col(key) < F.col("_in.hi")))
+    return held.withColumn("_in", F.when(inside, F.col("_in")))
 
-    Chunks do not overlap, so the range join is an ordered merge: each key takes the last chunk that starts at or before it.
-    """
-    marks = chunks.select(F.col("lo").alias("_k"), F.struct("lo", "hi", "high").alias("_c"), F.lit(0).alias("_o"), *[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in changes.columns])
-    rows = changes.select(F.col(key).alias("_k"), F.lit(None).cast(marks.schema["_c"].dataType).alias("_c"), F.lit(1).alias("_o"), *changes.columns)
-    span = 1 << 20
-    # the chunk in force at the start of each key span, then a window inside the span: no task sees all keys
-    both = marks.unionByName(rows).withColumn("_span", F.floor(F.col("_k") / span))
-    heads = chunks.select(F.floor(F.col("lo") / span).alias("_s"), F.struct("lo", "hi", "high").alias("_c")).groupBy("_s").agg(F.max_by("_c", F.col("_c.lo")).alias("_c"))
-    w = Window.partitionBy("_span").orderBy("_k", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("_in", F.last("_c", ignorenulls=True).over(w)).where("_o = 1")
-    spans = held.where("_in is null").select("_span").distinct()
-    carried = spans.join(heads, F.col("_s") < F.col("_span")).groupBy("_span").agg(F.max_by("_c", F.col("_c.lo")).alias("_carried"))
-    held = held.join(carried, "_span", "left").withColumn("_in", F.coalesce("_in", "_carried"))
-    inside = F.coalesce(F.col("_in.hi").isNull() | (F.col(key) < F.col("_in.hi")), F.lit(False)) & F.col("_in").isNotNull()
+
+def backfill_chunks(snapshot: DataFrame, changes: DataFrame, chunks: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """Snapshot rows of all chunks (lo, hi, low, high) whose key did not change within its own chunk's marks (low, high]."""
+    placed = in_chunk(snapshot, chunks, key, "low", "high").where("_in is not null")
+    changed = in_chunk(changes.select(key, pos), chunks, key, "low", "high").where((F.col(pos) > F.col("_in.low")) & (F.col(pos) <= F.col("_in.high")))
+    return placed.join(changed.select(key).distinct(), key, "left_anti").drop("_in")
+
+
+def tail_verdict(changes: DataFrame, chunks: DataFrame, key: str, pos: str, planned: Column) -> DataFrame:
+    """verdict of each change by the chunk that holds its key: wait (no high mark yet), emit (after it), drop; outside all chunks ``planned``
+    says whether to emit."""
+    held = in_chunk(changes, chunks, key, "high")
+    inside = F.col("_in").isNotNull()
     verdict = F.when(inside & (F.col("_in.high") == 0), "wait").when(inside, F.when(F.col(pos) > F.col("_in.high"), "emit").otherwise("drop")).when(planned, "emit").otherwise("drop")
     return held.select(*changes.columns, verdict.alias("verdict"))
 

@@ -72,8 +72,7 @@ def epoch_fence(spark, sf_dir):
 
 @query(f"SELECT lane, (SELECT max(tm) FROM {EVENTS}) - max(tm) >= 600000000 AS idle FROM {EVENTS} GROUP BY lane")
 def idle_lanes(spark, sf_dir):
-    last = events(spark, sf_dir).groupBy("lane").agg(F.max("tm").alias("tm"))
-    return last.crossJoin(last.agg(F.max("tm").alias("top"))).select("lane", (F.col("top") - F.col("tm") >= 600_000_000).alias("idle"))
+    return ledger.idle_lanes(events(spark, sf_dir), ["lane"], "tm", 600_000_000)
 
 
 @query(f"SELECT lane, seq, NOT p AND coalesce(NOT lag(p) OVER (PARTITION BY lane ORDER BY seq), false) AS fault FROM (SELECT *, stream <> 'error' AS p FROM {EVENTS})")
@@ -102,11 +101,10 @@ def dedupe_key(spark, sf_dir):
 
 @query(f"SELECT key, arg_max(value, seq) AS value, max(seq) AS version FROM {EVENTS} GROUP BY key HAVING arg_max(stream, seq) <> 'error'")
 def compact_latest(spark, sf_dir):
-    latest = events(spark, sf_dir).groupBy("key").agg(F.max_by(F.struct("stream", "value"), "seq").alias("x"), F.max("seq").alias("version"))
-    return latest.where("x.stream <> 'error'").select("key", "x.value", "version")
+    return ledger.latest(events(spark, sf_dir), ["key"], "seq", F.col("stream") == "error", "value")
 
 
-@query("""WITH RECURSIVE w AS (SELECT event_id AS seq, user_id AS key, (event_id * 7) % 5 AS want, event_type = 'error' AS drop_, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_id < 3000),
+@query("""WITH RECURSIVE w AS (SELECT event_id AS seq, user_id AS key, (event_id * 7) % 5 AS want, event_type = 'error' AS drop_, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
  f AS (SELECT key, rn, seq, want = 0 AS applied, CASE WHEN want = 0 AND NOT drop_ THEN 1 ELSE 0 END AS version FROM w WHERE rn = 1
   UNION ALL SELECT w.key, w.rn, w.seq, w.want = f.version, CASE WHEN w.want <> f.version THEN f.version WHEN w.drop_ THEN 0 ELSE f.version + 1 END FROM f JOIN w ON w.key = f.key AND w.rn = f.rn + 1)
  SELECT seq, applied, version FROM f""")

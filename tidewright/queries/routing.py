@@ -113,8 +113,8 @@ NOW = "(SELECT epoch_us(max(ts)) - 3600000000 FROM events)"
 def now(spark, sf_dir):
     from .base import micros
 
-    top = table(spark, sf_dir, "events").agg(F.max(micros("ts")).alias("m")).first()["m"]
-    return F.lit((top or 0) - 3_600_000_000)
+    top = table(spark, sf_dir, "events").agg(F.max(micros("ts"))).scalar()
+    return F.coalesce(top, F.lit(0)) - 3_600_000_000
 
 
 @query(f"SELECT seq, least(tm, {NOW} + {SKEW}) AS tm, CASE WHEN tm > {NOW} + {SKEW} THEN 'rounded' END AS note FROM {EVENTS}")

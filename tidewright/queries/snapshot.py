@@ -20,11 +20,12 @@ def chunk_plan(spark, sf_dir):
     return S.chunk_plan(orders(spark, sf_dir), "k", 700)
 
 
-@query("SELECT o_orderkey AS k FROM orders WHERE o_orderkey BETWEEN 100 AND 5000 AND NOT (o_orderkey % 9 = 0 AND o_orderkey > 300 AND o_orderkey <= 4000)")
+@query(f"""SELECT k FROM (SELECT o_orderkey AS k FROM orders) JOIN {CHUNKS} ON k >= lo AND (hi IS NULL OR k < hi) WHERE NOT (k % 9 = 0 AND k > lo + 100 AND k <= lo + 400)""")
 def chunk_backfill(spark, sf_dir):
     o = orders(spark, sf_dir)
     changes = o.where("k % 9 = 0").select("k", F.col("k").alias("pos"))
-    return S.backfill(o.where("k between 100 and 5000"), changes, "k", 300, 4000).select("k")
+    chunks = S.chunk_plan(o, "k", 700).withColumn("low", F.col("lo") + 100).withColumn("high", F.col("lo") + 400)
+    return S.backfill_chunks(o, changes, chunks, "k").select("k")
 
 
 MARKED = f"(SELECT *, CASE WHEN ord % 3 = 0 THEN 0 ELSE lo + 300 END AS high FROM {CHUNKS} WHERE ord % 4 <> 2)"
@@ -91,14 +92,14 @@ def backlog_poll(spark, sf_dir):
 @query(f"SELECT (greatest(0, least(max(tm), (SELECT min(tm) + 86400000000 FROM {EVENTS}) - 60000000)) // 1000000) * 1000000 AS watermark FROM {EVENTS}")
 def poll_watermark(spark, sf_dir):
     e = events(spark, sf_dir)
-    start = e.agg(F.min("tm").alias("m")).first()["m"] or 0
-    return S.next_watermark(e, "tm", F.lit(0), F.lit(start + 86_400_000_000), 60_000_000)
+    start = F.coalesce(e.agg(F.min("tm")).scalar(), F.lit(0))
+    return S.next_watermark(e, "tm", F.lit(0), start + 86_400_000_000, 60_000_000)
 
 
 @query(f"""SELECT seq FROM {EVENTS} e, (SELECT min(tm) + 43200000000 AS w FROM {EVENTS}) WHERE tm >= w - 3600000000 AND NOT (tm < w AND seq % 2 = 0)""")
 def poll_dedupe(spark, sf_dir):
     e = events(spark, sf_dir)
-    w = F.lit((e.agg(F.min("tm").alias("m")).first()["m"] or 0) + 43_200_000_000)
+    w = F.coalesce(e.agg(F.min("tm")).scalar(), F.lit(0)) + 43_200_000_000
     pinned = e.where((F.col("tm") >= w - 3_600_000_000) & (F.col("tm") < w) & (F.col("seq") % 2 == 0)).select("seq")
     return e.where(F.col("tm") >= w - 3_600_000_000).join(pinned, "seq", "left_anti").select("seq")
 
@@ -125,7 +126,7 @@ def shadow(spark, sf_dir):
     return S.shadow(e.where("lane < 4").select("seq", "key"), e.where("stream = 'purchase'").select("seq", "key"), "key")
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'VARCHAR' WHEN 1 THEN 'UBIGINT' ELSE 'OBJECT' END AS kind FROM orders WHERE o_orderkey < 1000")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'VARCHAR' WHEN 1 THEN 'UBIGINT' ELSE 'OBJECT' END AS kind FROM orders")
 def drift_program(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     attr = F.when(F.col("id") % 3 == 0, F.lit('"text"')).when(F.col("id") % 3 == 1, F.lit("5")).otherwise(F.lit('{"a": 1}'))
