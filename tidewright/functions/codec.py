@@ -2,15 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from . import text as T
 
 
 def encode_raw(body: Column) -> Column:
-    """Bytes as they are; a record that has none is a contract fault of its own row (null here, routed by the caller)."""
+    """Bytes as they are; null where a record has none, see ``raw_fault``."""
     return body
 
 
+def raw_fault(body: Column) -> Column:
+    """Why a record cannot be written raw: it holds no bytes, only a structure."""
+    return F.when(body.isNull(), F.lit("permanent_contract"))
+
+
+def requests(df: DataFrame, by: list[str], order: str, body: Column, framed: bool) -> DataFrame:
+    """What a byte sink is sent: with a framer one frame for each batch (``by``), without one a request for each record."""
+    if framed:
+        return frame_lines(df, by, order, body)
+    return df.select(*by, F.col(order).alias("request"), body.alias("frame"), F.lit(1).alias("records"))
+
+
+@dataclass(frozen=True)
+class Chain:
+    """A sink's resolved codec."""
+
+    encoder: str
+    framer: str | None
+    compressor: str | None
+    notes: tuple[str, ...]
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """``frame`` (text) of each record; a record that its encoder cannot take bears a fault."""
+        how, fault = ENCODERS[self.encoder]
+        return df.withColumn("fault", F.coalesce("fault", fault(df))).withColumn("frame", how(df))
+
+
+def _json(df: DataFrame) -> Column:
+    """The decoded payload where there is one; else the bytes, which JSON can only hold as base64."""
+    doc = F.to_json("doc") if "doc" in df.columns else F.lit(None).cast("string")
+    return F.coalesce(doc, T.json_value(F.col("body").cast("binary"), BinaryType()), F.lit("null"))
+
+
+#: name -> (text of a record, its fault); framers and compressors by name, the latter as Spark's writers know them.
+ENCODERS: dict[str, tuple[Callable[[DataFrame], Column], Callable[[DataFrame], Column]]] = {
+    "json": (_json, lambda df: F.lit(None).cast("string")),
+    "raw": (lambda df: F.col("body").cast("string"), lambda df: raw_fault(F.col("body"))),
+}
+FRAMERS = ("newline",)
+COMPRESSORS = ("gzip", "bzip2", "deflate", "snappy", "lz4", "zstd")
+
+
+def resolve_chain(config: dict | None) -> tuple[Chain | None, list[str]]:
+    """The chain that a sink's ``codec`` block asks for, or everything that is wrong with it. What the engine fills in is noted as such."""
+    config, wrong, notes = config or {}, [], ()
+    wrong += [f"codec.{name}: unknown field" for name in config if name not in ("encoder", "framer", "compressor")]
+    if "encoder" not in config:
+        notes = ("codec.encoder is json by default, which writes bytes as base64",)
+    for part, known in (("encoder", ENCODERS), ("framer", FRAMERS), ("compressor", COMPRESSORS)):
+        name = config.get(part)
+        if name is not None and name not in known:
+            wrong.append(f"no {part} is named {name!r}; there are {', '.join(known)}")
+    return (None, wrong) if wrong else (Chain(config.get("encoder", "json"), config.get("framer"), config.get("compressor"), notes), [])
+
+
+def decode_json(df: DataFrame, body: str = "body") -> DataFrame:
+    """doc (VARIANT) of a JSON body; a body that is none bears a fault, which an earlier one outranks."""
+    out = df.withColumn("doc", F.try_parse_json(F.col(body).cast("string")))
+    malformed = F.when(F.col(body).isNotNull() & F.col("doc").isNull(), F.lit("permanent_mapping"))
+    return out.withColumn("fault", F.coalesce(F.col("fault"), malformed) if "fault" in df.columns else malformed)
+
+
 def decimal_text(unscaled: Column, scale: int) -> Column:
     """Plain digits of an integer times 10**-scale, by text: any number of digits, zeros appended where the scale is negative."""
     digits = F.regexp_replace(unscaled.cast("string"), "^-", "")

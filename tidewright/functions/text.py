@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Nanoseconds of duration units, bytes of size units.
 DURATION_UNITS = {"ns": 1, "us": 1_000, "µs": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
@@ -88,3 +89,34 @@ def json_object(fields: dict[str, Column], optional: set[str] = frozenset()) ->
         member = F.concat(json_string(F.lit(name)), F.lit(":"), fields[name])
         parts.append(member if name in optional else F.coalesce(member, F.concat(json_string(F.lit(name)), F.lit(":null"))))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_value(value: Column, kind: T.DataType) -> Column:
+    """The JSON text of a column of any type, by its schema; null where the value is null.
+
+    A null member of a struct or map was not supplied and is left out; a null entry of a list, or a null at the top, is written as null
+    by whoever asks. Names are in byte order. Bytes are base64, decimals are strings, times are UTC; a number that JSON has not
+    (NaN, infinite) is a contract fault.
+    """
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), json_object({f.name: json_value(value[f.name], f.dataType) for f in kind.fields}, {f.name for f in kind.fields}))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: F.coalesce(json_value(x, kind.elementType), F.lit("null")))
+        return F.when(value.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+    if isinstance(kind, T.MapType):
+        supplied = F.filter(F.map_entries(value), lambda e: e["value"].isNotNull())
+        members = F.transform(F.array_sort(F.transform(supplied, lambda e: F.struct(e["key"].cast("string").alias("k"), json_value(e["value"], kind.valueType).alias("v")))), lambda e: F.concat(json_string(e["k"]), F.lit(":"), e["v"]))
+        return F.when(value.isNotNull(), F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+        refused = F.raise_error(F.lit("permanent_contract: JSON cannot represent NaN or Infinity")).cast("string")
+        return F.when(value.isNull(), F.lit(None).cast("string")).when(finite, json_float(value.cast("double"))).otherwise(refused)
+    if isinstance(kind, T.BinaryType):
+        return F.concat(F.lit('"'), F.replace(F.base64(value), F.lit("\r\n"), F.lit("")), F.lit('"'))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return json_time(F.unix_micros(value.cast("timestamp")))
+    if isinstance(kind, (T.DecimalType, T.DateType)):
+        return json_string(value.cast("string"))
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    return json_string(value) if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)) else value.cast("string")

@@ -103,9 +103,14 @@ def clock(df: DataFrame, policy: str, now: Column, max_skew: int, at: str = "at"
 
 
 def fault_terminal(df: DataFrame, how: str) -> dict[str, DataFrame]:
-    """Rows that go on, rows for the dead-letter sink (delivered before they are given up), and what is abandoned."""
+    """Rows that go on, rows for the dead-letter sink (delivered before they are given up), and what is abandoned.
+
+    With ``stop`` the first row that bears a fault ends whatever job reads ``main``.
+    """
     faulted = df.where(F.col("fault").isNotNull())
+    main = df.where(F.col("fault").isNull())
     if how == "stop":
-        faulted = faulted.withColumn("fault", F.raise_error(F.concat(F.lit("stopped: "), F.col("fault"))))
-    letters = faulted if how == "dead_letter" else faulted.limit(0)
-    return {"main": df.where(F.col("fault").isNull()), "dead_letter": letters, "abandoned": faulted}
+        stopped = F.raise_error(F.concat(F.lit("stopped: "), F.col("fault")))
+        main = df.where(F.when(F.col("fault").isNull(), F.lit(True)).otherwise(stopped.cast("boolean")))
+        faulted = faulted.limit(0)
+    return {"main": main, "dead_letter": faulted if how == "dead_letter" else faulted.limit(0), "abandoned": faulted}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -29,6 +30,7 @@ class SinkCaps:
     modes: tuple[str, ...] = ("append",)
     needs_whole_images: bool = False
     fails_per_record: bool = True
+    needs_keys: bool = False
 
 
 @dataclass
@@ -37,6 +39,60 @@ class Contract:
     ack_point: str
     edge: str | None
     why: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class Gap:
+    """Something that is asked for and that a component does not declare. ``missing`` is its token; without one it cannot be waived."""
+
+    node: str
+    missing: str
+    message: str
+
+
+def capability_gaps(asked: str, sources: dict[str, SourceCaps], sinks: dict[str, SinkCaps], streams: Callable[[str], list[dict]] = lambda node: []) -> list[Gap]:
+    """What the sinks' declarations leave open, by node; ``streams``: the stream entries that hold at a node."""
+    out = []
+    for node, c in sorted(sinks.items()):
+        if asked == "exactly_once" and not (c.commits or c.stores_token):
+            out.append(Gap(node, "commits", f"{node}: exactly_once is asked for, and the sink neither commits nor stores a token"))
+        if asked == "effectively_once" and not (c.idempotent or c.commits or c.stores_token):
+            out.append(Gap(node, "idempotent", f"{node}: effectively_once is asked for, and the sink is not idempotent"))
+        if c.needs_whole_images and not all(s.complete_images for s in sources.values()):
+            out.append(Gap(node, "complete_images", f"{node}: the sink needs whole images, and a source may send partial ones"))
+        if c.needs_keys and not all(s.stable_keys for s in sources.values()):
+            out.append(Gap(node, "stable_keys", f"{node}: the sink needs a key, and a source does not declare stable ones"))
+        for entry in streams(node):
+            if entry.get("write", "append") not in c.modes:
+                out.append(Gap(node, "", f"{node}: stream {entry['stream']!r} is to be written by {entry['write']}; the sink has {', '.join(c.modes)}"))
+            if entry.get("dedupe") is not None and not entry["dedupe"].get("window_us"):
+                out.append(Gap(node, "", f"{node}: stream {entry['stream']!r}: a dedupe window is required and has no default"))
+    return out
+
+
+def apply_waivers(gaps: list[Gap], waivers: list[dict]) -> tuple[list[str], list[str]]:
+    """(errors, warnings): a waiver (node, missing, acknowledged_by, reason) turns the gaps it names, at exactly its node, into warnings.
+
+    One that names nothing, or is not signed and explained, is an error and waives nothing; one that no gap needs is a warning.
+    """
+    errors, warnings, used = [], [], set()
+    sound = {n for n, w in enumerate(waivers) if w.get("missing") and w.get("acknowledged_by") and w.get("reason")}
+    for gap in gaps:
+        by = next((n for n in sorted(sound) if gap.missing and waivers[n].get("node") == gap.node and gap.missing in waivers[n]["missing"]), None)
+        if by is None:
+            errors.append(gap.message)
+        else:
+            used.add(by)
+            warnings.append(f"{gap.message}; waived by {waivers[by]['acknowledged_by']}: {waivers[by]['reason']}")
+    for n, w in enumerate(waivers):
+        if not w.get("missing"):
+            errors.append(f"waivers[{n}]: it must name what is missing")
+        elif n not in sound:
+            errors.append(f"waivers[{n}]: it must say who acknowledged it, and why")
+        elif n not in used:
+            warnings.append(f"waivers[{n}]: nothing needs it at {w.get('node')}")
+    return errors, warnings
 
 
 def source_ceiling(c: SourceCaps) -> str:

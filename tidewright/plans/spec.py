@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+from .config import Field, validate
 from .negotiate import TIERS
 
 
@@ -32,20 +33,43 @@ class Spec:
     graph: list[Node]
     tenant: str = "default"
     guarantee: str = "at_least_once"
-    retry: dict[str, Any] = field(default_factory=lambda: {"terminal": "stop", "on_indeterminate": "stall", "initial_ms": 100, "multiplier": 2.0, "max_ms": 30_000, "max_attempts": 5})
-    clock: dict[str, Any] = field(default_factory=lambda: {"policy": "pass", "max_skew_us": 0})
+    retry: dict[str, Any] = field(default_factory=lambda: dict(DEFAULT_RETRY))
+    clock: dict[str, Any] = field(default_factory=lambda: dict(DEFAULT_CLOCK))
     when_full: str = "block"
     lane_budget: int = 1000
     drift: str = "lenient"
     streams: list[dict[str, Any]] = field(default_factory=list)
     waivers: list[dict[str, str]] = field(default_factory=list)
 
+    def streams_at(self, node: str) -> list[dict[str, Any]]:
+        """The entries that hold at a node, one for each stream."""
+        return [self.stream_config(node, name) for name in dict.fromkeys(s["stream"] for s in self.streams) if self.stream_config(node, name)]
+
     def stream_config(self, node: str, stream: str) -> dict[str, Any] | None:
         """The entry for a stream: one of the node's own beats one for all nodes."""
         found = [s for s in self.streams if s["stream"] == stream and s.get("node") in (None, node)]
         return max(found, key=lambda s: s.get("node") is not None, default=None)
 
 
+#: What a spec may hold besides its graph: types, ranges and permitted values.
+FIELDS = (
+    Field("id", required=True, pattern=r"^\S+$"), Field("tenant"), Field("guarantee", "enum", values=TIERS), Field("drift", "enum", values=("lenient", "evolve", "try_evolve", "ignore", "fail")),
+    Field("when_full", "enum", values=("block", "drop_newest", "reject", "overflow")), Field("lane_budget", "int", least=1), Field("graph", "array", item=Field("node", "any")),
+    Field("retry", "object", fields=(
+        Field("terminal", "enum", values=("stop", "drop", "dead_letter")), Field("on_indeterminate", "enum", values=("stall", "retry", "dead_letter")), Field("initial_ms", "int", least=1),
+        Field("multiplier", "float", least=1), Field("max_ms", "int", least=0), Field("max_attempts", "int", least=1), Field("max_elapsed_ms", "int", least=0),
+    )),
+    Field("clock", "object", fields=(Field("policy", "enum", values=("pass", "clamp", "reject")), Field("max_skew_us", "int", least=0))),
+    Field("streams", "array", item=Field("stream", "object", fields=(
+        Field("stream", required=True), Field("node"), Field("read", "enum", values=("full_refresh", "incremental", "append_dedup")), Field("write", "enum", values=("append", "upsert", "insert", "update", "overwrite", "delete")),
+        Field("key", "array", item=Field("name")), Field("dedupe", "object", fields=(Field("key", "array", item=Field("name")), Field("window_us", "int", least=0))),
+    ))),
+    Field("waivers", "array", item=Field("waiver", "object", fields=(Field("node", required=True), Field("missing", "array", item=Field("name")), Field("acknowledged_by"), Field("reason")))),
+)
+DEFAULT_RETRY = {"terminal": "stop", "on_indeterminate": "stall", "initial_ms": 100, "multiplier": 2.0, "max_ms": 30_000, "max_attempts": 5}
+DEFAULT_CLOCK = {"policy": "pass", "max_skew_us": 0}
+
+
 class SpecError(ValueError):
     pass
 
@@ -71,7 +95,12 @@ def load(text: str) -> Spec:
         node = dict(node)
         node["inputs"] = [_build(Edge, {("source" if k == "from" else k): v for k, v in e.items()}, f"graph[{n}].inputs") for e in node.get("inputs", [])]
         graph.append(_build(Node, node, f"graph[{n}]"))
-    return _build(Spec, data | {"graph": graph}, "spec")
+    spec = _build(Spec, data | {"graph": graph}, "spec")
+    wrong = validate(data | {"graph": []}, FIELDS, "spec")
+    if wrong:
+        raise SpecError("; ".join(wrong))
+    spec.retry, spec.clock = DEFAULT_RETRY | spec.retry, DEFAULT_CLOCK | spec.clock
+    return spec
 
 
 def diagnose(spec: Spec, registry: dict[str, set[str]]) -> list[str]:
@@ -117,6 +146,8 @@ def diagnose(spec: Spec, registry: dict[str, set[str]]) -> list[str]:
         return found
 
     out += [f"{i}: it is part of a cycle" for i in by if cyclic(i)]
+    if spec.when_full == "overflow":
+        out.append("when_full is overflow, and no buffer holds what overflows")
     if spec.retry.get("terminal") == "dead_letter" and not any(e.select == "failed" for n in spec.graph for e in n.inputs):
         out.append("retry.terminal is dead_letter, but no edge selects failed records")
     return out

@@ -15,8 +15,11 @@ class Span(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
-def lines(path: str, start: int, stop: int | None):
-    """(offset of the next line, line) of lines that begin in [start, stop). An offset inside a line begins at the next one."""
+def lines(path: str, start: int, stop: int | None, torn: bool = True):
+    """(offset of the next line, line) of lines that begin in [start, stop). An offset inside a line begins at the next one.
+
+    ``torn``: whether a last line without its newline counts. In a stream it does not: its writer may not be done with it.
+    """
     with open(path, "rb") as f:
         if start:
             f.seek(start - 1)
@@ -25,7 +28,7 @@ def lines(path: str, start: int, stop: int | None):
         at = start
         while stop is None or at < stop:
             line = f.readline()
-            if not line:
+            if not line or not (torn or line.endswith(b"\n")):
                 return
             at += len(line)
             yield at, line.rstrip(b"\n").removesuffix(b"\r")
@@ -52,14 +55,14 @@ class LineFileStream(SimpleDataSourceStreamReader):
 
     def read(self, start):
         rows = []
-        for row in lines(self.path, start["offset"], None):
+        for row in lines(self.path, start["offset"], None, torn=False):
             rows.append(row)
             if len(rows) == READ_LINES:
                 break
         return iter(rows), {"offset": rows[-1][0] if rows else start["offset"]}
 
     def readBetweenOffsets(self, start, end):
-        return lines(self.path, start["offset"], end["offset"])
+        return lines(self.path, start["offset"], end["offset"], torn=False)
 
 
 class LineFile(DataSource):
