@@ -10,28 +10,38 @@ sampled side by side. Draws are a hash of row key, seed, word number and step: a
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp
+from itertools import chain
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 
 from .mixture_packing import batch_type
+from .storage import portions
 from .suffix_dedup import mixed
 
 SPACE = "▁"
 #: A U+2581 of the text itself, which must not become a space: no valid text holds a lone surrogate.
 LITERAL = "\ud800"
-#: Words and lattice edges that a worker keeps at most; beyond, it starts afresh.
-CACHE_WORDS, CACHE_EDGES = 500_000, 16_000_000
+#: Words and lattice edges (12 bytes each) from which on a worker starts afresh, and words that are added and drawn at a time.
+CACHE_WORDS, CACHE_EDGES, PORTION = 200_000, 4_000_000, 50_000
+#: Bytes of the texts that are worked on at a time, if not a single text has more.
+SLICE = 1 << 19
 
-#: Words up to so many characters are worked on side by side.
+#: Words up to so many characters are worked on side by side, and their lattices are kept.
 SIDE_BY_SIDE, HASH_FACTOR = 24, np.uint64(0x9E3779B97F4A7C15)
 
+#: Words as no piece crosses their borders where pieces join only the classes below; else what lies between spaces.
+find_units = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]+|\p{{N}}?[^{SPACE}\p{{L}}\p{{M}}\p{{N}}]+)|\p{{N}}|{SPACE}+").findall
 find_words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+#: Classes of neighbouring characters that a unit never parts: spaces before anything but a number, letters, other characters, a number before the latter.
+JOINED = regex.compile(rf"{SPACE}*(?:[\p{{L}}\p{{M}}]*|\p{{N}}?[^{SPACE}\p{{L}}\p{{M}}\p{{N}}]*)")
 
 
 def _hash(text: str) -> int:
@@ -41,6 +51,17 @@ def _hash(text: str) -> int:
     return h
 
 
+def _uniform(seed: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+    """24-bit draws from 0 to below 1."""
+    turn = np.atleast_1d(step).astype(np.uint64) + np.uint64(1)  # as an array: overflow is meant
+    return (mixed(seed + turn * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+
+
+def _within_unit(piece: str) -> bool:
+    """Whether no border between units can lie inside the piece, whatever stands around it."""
+    return bool(JOINED.fullmatch(piece)) and not regex.match(rf"{SPACE}+\p{{N}}", piece)
+
+
 class Pieces:
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
@@ -48,10 +69,6 @@ class Pieces:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = library.get_piece_size()
         self.byte_ids = {int(library.id_to_piece(i)[1:-1], 16): i for i in range(n) if library.is_byte(i)}
-        self.text = [b"" if library.is_control(i) else library.id_to_piece(i).encode() for i in range(n)]
-        for b, i in self.byte_ids.items():
-            self.text[i] = bytes([b])
-        self.decoded = [t.replace(SPACE.encode(), b" ") for t in self.text]  # a byte's piece is no whole U+2581
         plain = [i for i in range(n) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))]
         self.weights = {}
         lowest = min((x for i in plain if (x := library.get_score(i)) > -1e8), default=0.0)  # a piece scored as never counts as the least likely
@@ -60,27 +77,34 @@ class Pieces:
             if SPACE not in piece.lstrip(SPACE):  # a space after another character would join two words
                 self.weights[piece] = (i, exp(sharpness * max(lowest, library.get_score(i))))
         self.longest = max(map(len, self.weights), default=1)
-        self.starts = {piece[:k] for piece in self.weights for k in range(1, len(piece) + 1)}
-        hashed = {_hash(start): self.weights.get(start, (-1, 0.0)) for start in self.starts}
+        self.find = find_units if all(map(_within_unit, self.weights)) else find_words
+        starts = {piece[:k] for piece in self.weights for k in range(1, len(piece) + 1)}
+        hashed = {_hash(start): self.weights.get(start, (-1, 0.0)) for start in starts}
         self.start_keys = np.array(sorted(hashed), np.uint64)
         self.start_piece = np.array([hashed[k][0] for k in self.start_keys.tolist()], np.int64)
         self.start_weight = np.array([hashed[k][1] for k in self.start_keys.tolist()])
+        self.edge_from, self.edge_id = np.empty(1 << 20, np.int32), np.empty(1 << 20, np.int32)
+        self.edge_share, self.node_first = np.empty(1 << 20, np.float32), np.empty(1 << 19, np.int32)
         self.start()
 
     def start(self) -> None:
+        """Begin with no word; the buffers stay."""
         self.words: dict[str, int] = {}
-        self.edge_from, self.edge_id, self.edge_share = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-        self.node_first, self.nodes, self.edges = [np.zeros(0, np.int64)], 0, 0
+        self.nodes = self.edges = 0
+
+    def _hold(self, name: str, used: int, values: np.ndarray) -> None:
+        """``values`` behind the first ``used`` entries of a buffer, which doubles where it is full."""
+        buffer = getattr(self, name)
+        if used + len(values) > len(buffer):
+            wider = np.empty(max(2 * len(buffer), used + len(values)), buffer.dtype)
+            wider[:used] = buffer[:used]
+            setattr(self, name, wider)
+            buffer = wider
+        buffer[used : used + len(values)] = values
 
     def add(self, words: list[str]) -> None:
-        """Lattices of new words: short ones side by side, long ones singly."""
-        short = [w for w in words if len(w) <= SIDE_BY_SIDE]
-        if short:
-            self._add_short(short)
-        if len(short) < len(words):
-            self._add_long([w for w in words if len(w) > SIDE_BY_SIDE])
-
-    def _add_short(self, words: list[str]) -> None:
+        """Lattices of new words of at most SIDE_BY_SIDE characters, side by side. A node is a position after a word's start; its
+        edges lie together, shares cumulated."""
         width = SIDE_BY_SIDE
         letters = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, width).astype(np.uint64)
         lengths = np.array([len(w) for w in words])
@@ -122,115 +146,120 @@ class Pieces:
         share -= np.repeat(np.concatenate([[0.0], share[first[1:] - 1]]), np.diff(np.append(first, len(word))))
         share[np.append(first[1:], len(word)) - 1] = 2.0
         base = self.nodes + np.cumsum(lengths) - lengths
-        self.edge_from.append(np.where(start > 0, base[word] + start - 1, -1).astype(np.int32))
-        self.edge_id.append(piece.astype(np.int32))
-        self.edge_share.append(share.astype(np.float32))
-        self.node_first.append((self.edges + first).astype(np.int64))
+        self._hold("edge_from", self.edges, np.where(start > 0, base[word] + start - 1, -1))
+        self._hold("edge_id", self.edges, piece)
+        self._hold("edge_share", self.edges, share)
+        self._hold("node_first", self.nodes, self.edges + first)
         self.words.update(zip(words, (base + lengths - 1).tolist(), strict=True))
         self.nodes += int(lengths.sum())
         self.edges += len(word)
 
-    def _add_long(self, words: list[str]) -> None:
-        """A node is a position after a word's start; its edges lie together, shares cumulated."""
-        froms, ids, shares, firsts = [], [], [], []
-        weights, starts = self.weights, self.starts
-        for word in words:
-            n, base = len(word), self.nodes
-            forward = [0.0] * (n + 1)
-            forward[0] = 1.0
-            into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-            for i in range(n):
-                here = forward[i]
-                if not here:
-                    continue
-                for j in range(i + 1, n + 1):
-                    piece = word[i:j]
-                    if piece not in starts:
-                        break
-                    found = weights.get(piece)
-                    if found:
-                        w = here * found[1]
-                        into[j].append((i, found[0], w))
-                        forward[j] += w
-                if not into[i + 1]:  # no piece for this character ends here: its bytes, as one edge (id -1-code)
-                    into[i + 1].append((i, -1 - ord(word[i]), here))
-                    forward[i + 1] += here
-                if not 1e-200 < here < 1e200:  # long words: keep sums in range, all alike
-                    scale = 1 / here
-                    for j in range(i + 1, min(n, i + self.longest) + 1):
-                        forward[j] *= scale
-                        into[j] = [(a, b, w * scale) for a, b, w in into[j]]
-            for j in range(1, n + 1):
-                firsts.append(self.edges + len(froms))
-                total, done = forward[j], 0.0
-                for i, piece, w in into[j]:
-                    done += w
-                    froms.append(base + i - 1 if i else -1)
-                    ids.append(piece)
-                    shares.append(done / total if total else 1.0)
-                if into[j]:
-                    shares[-1] = 2.0
-            self.nodes += n
-            self.words[word] = self.nodes - 1
-        self.edges += len(froms)
-        self.edge_from.append(np.array(froms, np.int32))
-        self.edge_id.append(np.array(ids, np.int32))
-        self.edge_share.append(np.array(shares, np.float32))
-        self.node_first.append(np.array(firsts, np.int64))
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        for name in ("edge_from", "edge_id", "edge_share", "node_first"):
-            held = getattr(self, name)
-            if len(held) > 1:
-                setattr(self, name, [np.concatenate(held)])
-        return self.edge_from[0], self.edge_id[0], self.edge_share[0], self.node_first[0]
-
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of one sampled segmentation of each text."""
-        parts = [find_words(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) for t in texts]
+        parts = [self.find(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) for t in texts]
+        counts = np.array([len(p) for p in parts])
+        words = list(chain.from_iterable(parts))
+        within = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+        seed = mixed(np.repeat(seeds, counts) + within.astype(np.uint64) * HASH_FACTOR)
+        drawn = [self._draw(words[at : at + PORTION], seed[at : at + PORTION]) for at in range(0, len(words), PORTION)]
+        ids, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*drawn, strict=True)) if drawn else (np.zeros(0, np.int64),) * 2
+        cut = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _draw(self, words: list[str], seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a sampled segmentation of each word in order, how many of each)."""
         if len(self.words) >= CACHE_WORDS or self.edges >= CACHE_EDGES:
             self.start()
-        self.add(list({w for p in parts for w in p if w not in self.words}))
-        node = np.fromiter((self.words[w] for p in parts for w in p), np.int64)
-        counts = np.array([len(p) for p in parts])
-        edge_from, edge_id, edge_share, node_first = self.arrays()
-        within = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
-        seed = mixed(np.repeat(seeds, counts) + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        active, taken, owners = np.arange(len(node)), [], []
-        step = 0
+        long = [n for n, w in enumerate(words) if len(w) > SIDE_BY_SIDE]
+        short = np.delete(np.arange(len(words)), long)
+        chosen = [words[n] for n in short.tolist()] if long else words
+        new = list(set(chosen).difference(self.words))
+        if new:
+            self.add(new)
+        node = np.fromiter(map(self.words.__getitem__, chosen), np.int64, len(chosen))
+        edge_from, edge_id, edge_share, node_first = self.edge_from, self.edge_id, self.edge_share, self.node_first
+        active, step, taken, owners = np.arange(len(node)), 0, [], []
         while len(active):
-            u = (mixed(seed[active] + np.uint64((step + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+            u = _uniform(seed[short[active]], step)
             edge = node_first[node[active]]
             late = np.flatnonzero(edge_share[edge] <= u)
             while len(late):
                 edge[late] += 1
                 late = late[edge_share[edge[late]] <= u[late]]
             taken.append(edge_id[edge])
-            owners.append(active)
+            owners.append(short[active])
             node[active] = edge_from[edge]
             active = active[node[active] >= 0]
             step += 1
-        if not taken:
-            return [np.zeros(0, np.int64) for _ in texts]
-        steps = np.zeros(len(node), np.int64)
-        for o in owners:
-            steps[o] += 1
-        ends = np.cumsum(steps)
-        out = np.zeros(int(ends[-1]), np.int64)
-        for n, (o, ids) in enumerate(zip(owners, taken, strict=True)):
-            out[ends[o] - 1 - n] = ids
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return [self._bytes(out[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-
-    def _bytes(self, ids: np.ndarray) -> np.ndarray:
-        """Characters without a piece, as the ids of their bytes."""
-        if not len(ids) or ids.min() >= 0:
-            return ids
-        out: list[int] = []
-        for i in ids.tolist():
-            out.extend([i] if i >= 0 else [self.byte_ids[b] for b in (SPACE if -1 - i == ord(LITERAL) else chr(-1 - i)).encode("utf-8", "replace")])
+        for n in long:
+            ids = self._long(words[n], seed[n : n + 1])
+            taken.append(ids)
+            owners.append(np.full(len(ids), n))
+        owner = np.concatenate([np.zeros(0, np.int64), *owners])
+        ids = np.concatenate([np.zeros(0, np.int64), *taken])
+        # drawn from each word's end, so the other way round; stable, as of one word the later draws come first
+        order = np.argsort(owner[::-1], kind="stable")
+        return self._bytes(owner[::-1][order], ids[::-1][order], len(words))
+
+    def _long(self, word: str, seed: np.ndarray) -> np.ndarray:
+        """Ids, last one first, of a long word, whose lattice is not kept: one logarithm of the forward sum for each position, and
+        the pieces that end at a position are looked up again on the way back."""
+        weights, longest = self.weights, self.longest
+        forward = np.zeros(len(word) + 1)
+
+        def into(j: int) -> list[tuple[int, int, float]]:
+            """(from, piece, share before scaling) of the pieces that end at j; where there is none, the character's bytes."""
+            level = float(forward[j - 1])
+            found = ((i, weights.get(word[i:j])) for i in range(max(0, j - longest), j))
+            return [(i, f[0], exp(min(700.0, float(forward[i]) - level)) * f[1]) for i, f in found if f] or [(j - 1, -1 - ord(word[j - 1]), 1.0)]
+
+        for j in range(1, len(word) + 1):
+            forward[j] = forward[j - 1] + log(sum(x for _, _, x in into(j)))
+        out, at, step = array("q"), len(word), 0
+        while at:
+            if step % 1024 == 0:
+                draws = _uniform(np.repeat(seed, 1024), np.arange(step, step + 1024)).tolist()
+            ways = into(at)
+            left = draws[step % 1024] * sum(x for _, _, x in ways)
+            for i, piece, x in ways:
+                left -= x
+                if left < 0:
+                    break
+            out.append(piece)
+            at, step = i, step + 1
         return np.array(out, np.int64)
 
+    def _bytes(self, owner: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each of ``n`` owners), characters without a piece as the ids of their bytes."""
+        low = np.flatnonzero(ids < 0)
+        if not len(low):
+            return ids, np.bincount(owner, minlength=n)
+        codes, which = np.unique(-1 - ids[low], return_inverse=True)
+        spelled = [[self.byte_ids[b] for b in (SPACE if c == ord(LITERAL) else chr(c)).encode("utf-8", "replace")] for c in codes.tolist()]
+        size = np.array([len(x) for x in spelled])
+        first, flat = np.cumsum(size) - size, np.array(list(chain.from_iterable(spelled)), np.int64)
+        sizes = np.ones(len(ids), np.int64)
+        sizes[low] = size[which]
+        start = np.cumsum(sizes) - sizes
+        out = np.repeat(ids, sizes)
+        spread = np.repeat(np.arange(len(low)), sizes[low])
+        inside = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[low]) - sizes[low], sizes[low])
+        out[start[low][spread] + inside] = flat[first[which][spread] + inside]
+        return out, np.bincount(owner, weights=sizes, minlength=n).astype(np.int64)
+
+
+class Spelling:
+    """What decoding needs: the bytes of each piece."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = range(library.get_piece_size())
+        # a byte's piece is no whole U+2581
+        plain = lambda i: b"" if library.is_control(i) else library.id_to_piece(i).replace(SPACE, " ").encode()
+        self.decoded = [bytes([int(library.id_to_piece(i)[1:-1], 16)]) if library.is_byte(i) else plain(i) for i in pieces]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding put in front is taken away."""
         return b"".join(map(self.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
@@ -241,6 +270,11 @@ def pieces(path: str, sharpness: float) -> Pieces:
     return Pieces(path, sharpness)
 
 
+@lru_cache(maxsize=2)
+def spelling(path: str) -> Spelling:
+    return Spelling(path)
+
+
 def sample_pieces(df: DataFrame, model_path: str, seed: int = 0, sharpness: float = 2e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, ids (binary, little-endian unsigned 32-bit piece ids) of one sampled segmentation.
 
@@ -253,8 +287,7 @@ def sample_pieces(df: DataFrame, model_path: str, seed: int = 0, sharpness: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = pieces(model_path, sharpness)
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                some = batch.slice(at, 64)
+            for some in portions(batch, 1, SLICE):
                 texts = some.column(1).to_pylist()
                 keys = [xxhash.xxh3_64_intdigest(f"{seed}|{i!r}|{t}".encode("utf-8", "replace")) for i, t in zip(some.column(0).to_pylist(), texts, strict=True)]
                 ids = lattice.sample([t or "" for t in texts], np.array(keys, np.uint64))
@@ -269,9 +302,10 @@ def decode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_co
     kind, id_type = df.schema[id_col].dataType.simpleString(), batch_type(df, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = pieces(model_path, 2e-4)
+        table = spelling(model_path)
         for batch in batches:
-            texts = [None if x is None else lattice.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(texts, pa.string())], names=[id_col, "text"])
+            for some in portions(batch, 1, 4 * SLICE):
+                texts = [None if x is None else table.decode(np.frombuffer(x, "<u4")) for x in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(id_type), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
