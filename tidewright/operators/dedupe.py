@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import joined_path
+
 
 def mark_duplicates(df: DataFrame, key: list[str], at: str, window: int, ties: list[str]) -> DataFrame:
     """duplicate: the same key came at most ``window`` before, in event time. A repeat renews the window."""
@@ -30,3 +32,8 @@ def compare_and_set(df: DataFrame, key: str, order: str, want: str, drop: str) -
 
     done = df.groupBy(key).agg(items.alias("items")).select(key, F.explode(F.aggregate("items", zero, step)["out"]).alias("x"))
     return done.select(key, F.col("x.o").alias(order), "x.applied", "x.version")
+
+
+def scoped(*parts: Column) -> Column:
+    """A dedupe key in its scope: tenant, pipeline, source node, stream, layer and identity, escaped, so that no two scopes share a text."""
+    return joined_path(*[p.cast("string") for p in parts])

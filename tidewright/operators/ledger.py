@@ -37,11 +37,9 @@ def replay_window(df: DataFrame, by: list[str], order: str, resolved: Column, sa
     return df.join(at, by).groupBy(*by).agg(F.count_if(F.col("commit_to").isNull() | (F.col(order) > F.col("commit_to"))).alias("replay"))
 
 
-def settle_each(df: DataFrame, by: list[str], outcome: Column) -> DataFrame:
-    """Discrete acknowledgement: by, outcome (delivered or abandoned), records, first, last of what has ended, whatever stands before it; a
-    record that has not ended yet is left out. Ids stay rows: nothing is gathered."""
-    ended = df.withColumn("outcome", outcome).where(F.col("outcome").isNotNull())
-    return ended
+def settle_each(df: DataFrame, outcome: Column) -> DataFrame:
+    """Discrete acknowledgement: the records that have ended, with ``outcome``, whatever stands before them; nothing is gathered."""
+    return df.withColumn("outcome", outcome).where(F.col("outcome").isNotNull())
 
 
 def idle_lanes(df: DataFrame, by: list[str], at: str, timeout: int) -> DataFrame:

@@ -67,3 +67,30 @@ def day_partition(dest: Column, event_micros: Column, read_micros: Column) -> Co
 def oversize_requests(df: DataFrame, request: list[str], size: Column, most: int) -> DataFrame:
     """fault: every record's of a request whose mean size is above ``most``."""
     return df.withColumn("fault", F.when(F.avg(size).over(Window.partitionBy(*request)) > most, F.lit("permanent_mapping")))
+
+
+def by_destination(df: DataFrame, dest: str, order: str) -> DataFrame:
+    """One request for each destination: how many records, and the first."""
+    return df.groupBy(F.col(dest).alias("dest")).agg(F.count(F.lit(1)).alias("records"), F.min(order).alias("first"))
+
+
+def staged_requests(df: DataFrame, request: str, published: DataFrame) -> DataFrame:
+    """request, written, duplicates: all records of a request whose key is published already are duplicates, and still count as written."""
+    counts = df.groupBy(request).agg(F.count(F.lit(1)).alias("written"))
+    known = published.select(request).distinct().withColumn("_seen", F.lit(True))
+    return counts.join(known, request, "left").select(request, "written", F.when(F.col("_seen"), F.col("written")).otherwise(F.lit(0)).cast("bigint").alias("duplicates"))
+
+
+def merge_committable(df: DataFrame, by: list[str], checkpoint: Column) -> DataFrame:
+    """by, records, checkpoint: one committable for a checkpoint, which covers every lane seen."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("records"), F.max(checkpoint).alias("checkpoint"))
+
+
+def resolve_commits(committables: DataFrame, published: DataFrame, staged: DataFrame, upload: str, checkpoint: str, name: str) -> DataFrame:
+    """outcome of each committable (upload, checkpoint, name of what was staged): an older checkpoint is contained in the newest; a name that is
+    published needs nothing; one that is staged is committed; one that is neither, having been lost, is a dead letter."""
+    out = subsume(committables, upload, checkpoint).withColumnRenamed("outcome", "_o")
+    for table, flag in ((published, "_published"), (staged, "_staged")):
+        out = out.join(table.select(name).distinct().withColumn(flag, F.lit(True)), name, "left")
+    fate = F.when((F.col("_o") == "already_committed") | F.col("_published"), "already_committed").when(F.col("_staged"), "committed").otherwise("dead_letter")
+    return out.withColumn("outcome", fate).drop("_o", "_published", "_staged")

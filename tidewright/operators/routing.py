@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup
@@ -114,3 +116,49 @@ def fault_terminal(df: DataFrame, how: str) -> dict[str, DataFrame]:
         main = df.where(F.when(F.col("fault").isNull(), F.lit(True)).otherwise(stopped.cast("boolean")))
         faulted = faulted.limit(0)
     return {"main": main, "dead_letter": faulted if how == "dead_letter" else faulted.limit(0), "abandoned": faulted}
+
+
+def dispose_marked(df: DataFrame, by: list[str], order: str, fault: str = "fault") -> DataFrame:
+    """by, admitted, marked, position: records that their source marked are disposed of before admission, and the position moves on over them."""
+    return df.groupBy(*by).agg(F.count_if(F.col(fault).isNull()).alias("admitted"), F.count(fault).alias("marked"), F.max(order).alias("position"))
+
+
+def drop_counts(df: DataFrame, by: list[str], fault: str = "fault") -> DataFrame:
+    """by, delivered, abandoned under the drop policy."""
+    return df.groupBy(*by).agg(F.count_if(F.col(fault).isNull()).alias("delivered"), F.count(fault).alias("abandoned"))
+
+
+def sink_outcome(abandoned: Column, pending: Column, duplicate: Column) -> Column:
+    """What became of a record at a sink: abandoned, not known yet (null), duplicate or delivered."""
+    return F.when(abandoned, "abandoned").when(pending, F.lit(None)).when(duplicate, "duplicate").otherwise("delivered")
+
+
+def is_delivery(outcome: Column) -> Column:
+    """A duplicate that a sink reports is a delivery; it is counted separately as well."""
+    return F.coalesce(outcome.isin("duplicate", "delivered"), F.lit(False))
+
+
+def reconcile(counts: DataFrame, records: str, written: str, failed: str, deferred: str | None = None) -> DataFrame:
+    """The counts as they are, if written = records - failed - deferred; else a contract fault ends the job."""
+    expected = F.col(records) - F.col(failed) - (F.col(deferred) if deferred else F.lit(0))
+    broken = F.raise_error(F.lit("permanent_contract: written does not add up")).cast("bigint")
+    return counts.withColumn(written, F.when(F.col(written) == expected, F.col(written)).otherwise(broken))
+
+
+def spread_faults(df: DataFrame, requests: DataFrame, by: list[str], own: Column) -> DataFrame:
+    """fault: a request's own (by, request_fault) is that of each of its records; otherwise the record's."""
+    return df.join(requests.select(*by, "request_fault"), by, "left").withColumn("fault", F.coalesce("request_fault", own)).drop("request_fault")
+
+
+def reject_full(df: DataFrame, request: list[str], order: str, full: Callable[[Column], Column]) -> DataFrame:
+    """fault, sent: a queue that takes a request's records one by one rejects those for which ``full(key + sent before)`` holds, and what it
+    rejects was not sent. ``sent`` is what its request had sent before the record."""
+    before = Window.partitionBy(*request).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("sent", F.count(F.lit(1)).over(before))
+    return out.withColumn("fault", F.when(full(F.col(order)), F.lit("permanent_mapping")))
+
+
+def shed_requests(df: DataFrame, request: list[str], in_flight: Column, limit: int) -> DataFrame:
+    """fault: every record of a request that finds more than ``limit`` in flight is throttled."""
+    most = F.max(in_flight).over(Window.partitionBy(*request))
+    return df.withColumn("fault", F.when(most > limit, F.lit("throttled")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import last_mark, span_of
+from .modes import last_per_key
 
 
 def chunk_plan(keys: DataFrame, key: str, rows: int, width: int | None = None) -> DataFrame:
@@ -79,3 +80,103 @@ def shadow(scan: DataFrame, stream: DataFrame, key: str) -> DataFrame:
     """Scan rows without those whose key the stream has brought before the scan read them."""
     seen = stream.groupBy(key).agg(F.min("seq").alias("_first"))
     return scan.join(seen, key, "left").where(F.col("_first").isNull() | (F.col("_first") > F.col("seq"))).drop("_first")
+
+
+def poll_from(watermark: Column, now: Column, overlap: int) -> Column:
+    """Where a poll begins: the overlap before the watermark, or before now where there is none yet (a cold start)."""
+    return F.coalesce(watermark, now) - overlap
+
+
+def poll(rows: DataFrame, key: str, updated: str, since: Column, watermark: Column, pinned: DataFrame | None = None) -> DataFrame:
+    """Rows that a changed-since poll gives: not older than ``since`` and not pinned, that is seen in the overlap before."""
+    out = rows.where(F.col(updated) >= since)
+    if pinned is None:
+        return out
+    seen = out.join(pinned.select(key), key, "left_semi").where(F.col(updated) < watermark)
+    return out.join(seen.select(key), key, "left_anti")
+
+
+def pin(rows: DataFrame, key: str, updated: str, watermark: Column, overlap: int, most: int) -> DataFrame:
+    """The ids to pin for the next poll, with ``overflow``: over ``most`` of them none are kept and the flag is set on the one row there is."""
+    ids = rows.where(F.col(updated) >= watermark - overlap).select(F.col(key).alias("id")).distinct()
+    count = ids.agg(F.count(F.lit(1))).scalar()
+    kept = ids.where(count <= most).select("id", F.lit(False).alias("overflow"))
+    flag = rows.sparkSession.range(1).where(count > most).select(F.lit(None).cast(ids.schema["id"].dataType).alias("id"), F.lit(True).alias("overflow"))
+    return kept.unionByName(flag)
+
+
+def catalog_diff(known: DataFrame, live: DataFrame, name: str) -> DataFrame:
+    """name, action: streams that are new are announced, those that went are retired, the others kept."""
+    both = known.select(name, F.lit(True).alias("_known")).join(live.select(name, F.lit(True).alias("_live")), name, "full")
+    return both.select(name, F.when(F.col("_known").isNull(), "announce").when(F.col("_live").isNull(), "retire").otherwise("keep").alias("action"))
+
+
+def read_mode(rows: DataFrame, mode: str, key: list[str], cursor: str, since: Column) -> DataFrame:
+    """full_refresh: all rows; incremental: those past the cursor; append_dedup: of those past the cursor the last of each key."""
+    if mode == "full_refresh":
+        return rows
+    new = rows.where(since.isNull() | (F.col(cursor) > since))
+    if mode == "incremental":
+        return new
+    if mode == "append_dedup":
+        return last_per_key(new, key, cursor).select(*rows.columns)
+    raise ValueError(f"unknown mode {mode!r}; there are full_refresh, incremental, append_dedup")
+
+
+def change_op(scanned: Column, deleted: Column, updated: Column) -> Column:
+    return F.when(scanned, "scan_read").when(deleted, "delete").when(updated, "update").otherwise("insert")
+
+
+def rescale(lanes: DataFrame, shard: Column, cursor: str) -> DataFrame:
+    """shard, floor_: a new generation of a sharded log starts from the least cursor of its parents."""
+    return lanes.groupBy(shard.alias("shard")).agg(F.min(cursor).alias("floor_"))
+
+
+def letter_bounds(shards: int) -> list[str]:
+    """Lower bounds of ``shards`` chunks of the alphabet; the first is open."""
+    return ["", *(chr(ord("a") + 26 * n // shards) for n in range(1, shards))]
+
+
+def variant_kind(attribute: Column, names: dict[str, str]) -> Column:
+    """The kind of a VARIANT, under the names that a source's own type system has for it."""
+    kind = F.regexp_extract(F.schema_of_variant(attribute), "^[A-Z]+", 0)
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[kind], kind)
+
+
+def announce(lanes: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
+    """Lanes with those found that are not among them yet; announcing again changes nothing."""
+    new = found.dropDuplicates([key]).join(lanes.select(key), key, "left_anti")
+    return lanes.unionByName(new, allowMissingColumns=True)
+
+
+def finish(lanes: DataFrame, ended: DataFrame, key: str = "id") -> DataFrame:
+    """Lanes with those of ``ended`` (key, finished_at) finished; one that has finished keeps when it did."""
+    out = lanes.join(ended.select(key, F.col("finished_at").alias("_at")), key, "left")
+    at = F.coalesce("finished_at", "_at")
+    return out.withColumn("finished", F.col("finished") | F.col("_at").isNotNull()).withColumn("finished_at", at).drop("_at").select(*lanes.columns)
+
+
+def forget(lanes: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    return lanes.join(gone.select(key), key, "left_anti")
+
+
+def assigned(lanes: DataFrame) -> DataFrame:
+    """Lanes that a worker holds, that may be read and are not finished."""
+    return gated(lanes).where("not finished and held and readable")
+
+
+def polled(lanes: DataFrame, index: str, lanes_in_all: int, start: int, most: int) -> DataFrame:
+    """The lanes whose backlog is asked for at a tick: ``most`` of them, round robin from where the last tick stopped."""
+    return lanes.where((F.col(index) + (lanes_in_all - start)) % lanes_in_all < most)
+
+
+def replan(old: DataFrame, new: DataFrame, lane: str = "lane", worker: str = "worker") -> DataFrame:
+    """lane, plan, worker: lanes that left the plan are withdrawn, new ones wait for a worker, those kept stay where they are."""
+    both = old.select(lane, worker, F.lit(True).alias("_was")).join(new.select(lane, F.lit(True).alias("_is")), lane, "full")
+    plan = F.when(F.col("_is").isNull(), "withdrawn").when(F.col("_was").isNull(), "new").otherwise("kept")
+    return both.select(lane, plan.alias("plan"), F.when(plan == "kept", F.col(worker)).alias(worker))
+
+
+def claimable(gated: Column, finished: Column, held: Column, own: Column, expires: Column, now: Column, grace: int = 120) -> Column:
+    """A lane may be claimed if nothing gates it, it is not finished, and nobody else holds a lease that has not run out, grace added."""
+    return ~gated & ~finished & (~held | own | (expires + grace < now))

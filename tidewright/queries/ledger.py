@@ -55,11 +55,10 @@ def idle_coalesce(spark, sf_dir):
     return ledger.coalesce_idle(events(spark, sf_dir), ["lane"], "seq", F.col("stream") != "purchase")
 
 
-@query(f"SELECT lane, string_agg(seq::VARCHAR, ',' ORDER BY seq) FILTER (WHERE seq % 11 NOT IN (3, 7)) AS landed, string_agg(seq::VARCHAR, ',' ORDER BY seq) FILTER (WHERE seq % 11 = 3) AS abandoned FROM {EVENTS} GROUP BY lane")
+@query(f"SELECT lane, seq, CASE seq % 11 WHEN 3 THEN 'abandoned' ELSE 'landed' END AS outcome FROM {EVENTS} WHERE seq % 11 <> 7")
 def discrete_acks(spark, sf_dir):
     n = F.col("seq") % 11
-    ids = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("seq")))).cast("array<string>"), ",")
-    return events(spark, sf_dir).groupBy("lane").agg(ids(~n.isin(3, 7)).alias("landed"), ids(n == 3).alias("abandoned"))
+    return ledger.settle_each(events(spark, sf_dir), F.when(n == 3, "abandoned").when(n != 7, "landed")).select("lane", "seq", "outcome")
 
 
 @query(f"""SELECT seq, bool_or(stale) OVER (PARTITION BY seq // 10) AS rejected FROM (SELECT seq, coalesce(epoch < max(epoch) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale
@@ -117,7 +116,9 @@ def cas_apply(spark, sf_dir):
 @query("SELECT tenant || '/' || key AS path FROM (SELECT n_regionkey::VARCHAR AS tenant, n_name AS key FROM nation) WHERE tenant = '1' AND (key = 'C' OR starts_with(key, 'C')) OR tenant = '2'")
 def key_range(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("tenant"), F.col("n_name").alias("key"))
-    return n.where(((F.col("tenant") == "1") & F.col("key").startswith("C")) | (F.col("tenant") == "2")).select(F.concat_ws("/", "tenant", "key").alias("path")).orderBy("path")
+    from ..operators.status import key_range as under
+
+    return under(n, ["tenant", "key"], ("1", "C")).unionByName(under(n, ["tenant", "key"], ("2",))).select("path")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey > 50 ORDER BY id LIMIT 200")
@@ -129,4 +130,6 @@ def lane_page(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 32")
 def recent_events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(32).orderBy("event_id")
+    from ..operators.status import last_n
+
+    return last_n(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")

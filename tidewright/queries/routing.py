@@ -88,8 +88,7 @@ def terminal_dead_letter(spark, sf_dir):
 
 @query(f"SELECT lane, count(*) FILTER (WHERE fault IS NULL) AS delivered, count(fault) AS abandoned FROM {FAULTED} GROUP BY lane")
 def terminal_drop(spark, sf_dir):
-    f = faulted(spark, sf_dir)
-    return f.groupBy("lane").agg(F.count_if(F.col("fault").isNull()).alias("delivered"), F.count("fault").alias("abandoned"))
+    return R.drop_counts(faulted(spark, sf_dir), ["lane"])
 
 
 @query(f"""SELECT seq, lane, stream, fault AS class, CASE fault WHEN 'permanent_mapping' THEN 'config' ELSE 'upstream' END AS blame, 'write' AS op, 'row ' || seq AS message,
@@ -102,8 +101,7 @@ def dead_letter_envelope(spark, sf_dir):
 
 @query(f"SELECT lane, count(*) FILTER (WHERE fault IS NULL) AS admitted, count(fault) AS marked, max(seq) AS position FROM {FAULTED} GROUP BY lane")
 def marked_route(spark, sf_dir):
-    f = faulted(spark, sf_dir)  # records that the source marked are disposed of before admission; the position moves on over them
-    return f.groupBy("lane").agg(F.count_if(F.col("fault").isNull()).alias("admitted"), F.count("fault").alias("marked"), F.max("seq").alias("position"))
+    return R.dispose_marked(faulted(spark, sf_dir), ["lane"], "seq")
 
 
 SKEW = 60_000_000
@@ -143,32 +141,40 @@ def t_route(spark, sf_dir):
     return events(spark, sf_dir).select("seq", dest.alias("dest"))
 
 
-@query("SELECT event_id, '{\"k\": \"***\"}' AS props FROM events")
+@query("SELECT event_id, '{\"a\": ' || event_id || ', \"k\": \"***\", \"in\": {\"k\": \"***\", \"user\": ' || user_id || '}}' AS props FROM events")
 def t_redact(spark, sf_dir):
-    return shape.redact(table(spark, sf_dir, "events").select("event_id", "props"), "props", ["k"])
+    e = table(spark, sf_dir, "events")
+    props = F.concat(F.lit('{"a": '), "event_id", F.lit(', "k": "'), "event_type", F.lit('", "in": {"k": '), "user_id", F.lit(', "user": '), "user_id", F.lit("}}"))
+    return shape.redact(e.select("event_id", props.alias("props")), "props", ["k"])
 
 
 @query(f"SELECT seq, CASE WHEN seq % 11 = 3 THEN 'abandoned' WHEN seq % 11 = 7 THEN NULL WHEN seq % 7 = 0 THEN 'duplicate' ELSE 'delivered' END AS outcome, coalesce(seq % 11 NOT IN (3, 7), false) AS counts_as_delivered FROM {EVENTS}")
 def disposition(spark, sf_dir):
     n = F.col("seq")
-    out = F.when(n % 11 == 3, "abandoned").when(n % 11 == 7, F.lit(None)).when(n % 7 == 0, "duplicate").otherwise("delivered")
-    return events(spark, sf_dir).select("seq", out.alias("outcome"), F.coalesce(out.isin("duplicate", "delivered"), F.lit(False)).alias("counts_as_delivered"))
+    out = R.sink_outcome(n % 11 == 3, n % 11 == 7, n % 7 == 0)
+    return events(spark, sf_dir).select("seq", out.alias("outcome"), R.is_delivery(out).alias("counts_as_delivered"))
 
 
 @query(f"SELECT lane, count(*) AS records, count(fault) AS failed, count(*) - count(fault) AS written FROM {FAULTED} GROUP BY lane")
 def reconcile_writes(spark, sf_dir):
     g = faulted(spark, sf_dir).groupBy("lane").agg(F.count("*").alias("records"), F.count("fault").alias("failed"), F.count_if(F.col("fault").isNull()).alias("written"))
-    honest = F.col("written") == F.col("records") - F.col("failed")
-    return g.withColumn("written", F.when(honest, F.col("written")).otherwise(F.raise_error(F.lit("permanent_contract: written does not add up")).cast("bigint")))
+    return R.reconcile(g, "records", "written", "failed")
 
 
 @query(f"SELECT seq, CASE WHEN lane = 5 THEN 'permanent_upstream' WHEN seq % 11 = 3 THEN 'permanent_mapping' END AS fault FROM {EVENTS}")
 def partial_failure(spark, sf_dir):
     whole = spark.createDataFrame([(5, "permanent_upstream")], "lane long, request_fault string")  # a request-wide error is every record's
     own = F.when(F.col("seq") % 11 == 3, F.lit("permanent_mapping"))
-    return events(spark, sf_dir).join(F.broadcast(whole), "lane", "left").select("seq", F.coalesce("request_fault", own).alias("fault"))
+    return R.spread_faults(events(spark, sf_dir), whole, ["lane"], own).select("seq", "fault")
 
 
-@query(f"SELECT seq, 'permanent_mapping' AS fault FROM {EVENTS} WHERE seq % 997 = 0")
+@query(f"SELECT seq, sent, 'permanent_mapping' AS fault FROM (SELECT seq, count(*) OVER (PARTITION BY lane, seq // 500 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sent FROM {EVENTS}) WHERE (seq + sent) % 997 = 0")
 def queue_reject(spark, sf_dir):
-    return events(spark, sf_dir).where(F.col("seq") % 997 == 0).select("seq", F.lit("permanent_mapping").alias("fault"))
+    e = events(spark, sf_dir).withColumn("request", F.floor(F.col("seq") / 500))
+    return R.reject_full(e, ["lane", "request"], "seq", lambda key: (key + F.col("sent")) % 997 == 0).where("fault is not null").select("seq", "sent", "fault")
+
+
+@query(f"SELECT seq, CASE WHEN max(value) OVER (PARTITION BY seq // 20) > 95 THEN 'throttled' END AS fault FROM {EVENTS}")
+def load_shed(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("request", F.floor(F.col("seq") / 20))
+    return R.shed_requests(e, ["request"], F.col("value"), 95).select("seq", "fault")

@@ -76,7 +76,7 @@ def seal_files(spark, sf_dir):
 
 @query(f"SELECT stream AS dest, count(*) AS records, min(seq) AS first FROM {EVENTS} GROUP BY stream")
 def partition_dest(spark, sf_dir):
-    return events(spark, sf_dir).groupBy(F.col("stream").alias("dest")).agg(F.count("*").alias("records"), F.min("seq").alias("first"))
+    return modes.by_destination(events(spark, sf_dir), "stream", "seq")
 
 
 @query("SELECT event_id, event_type || '/' || strftime(CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2020-01-02 03:04:05' ELSE ts END, '%Y-%m-%d') AS dest FROM events")
@@ -90,9 +90,7 @@ def partition_day(spark, sf_dir):
 @query(f"SELECT seq // 100 AS request, count(*) AS written, CASE WHEN (seq // 100) % 3 = 0 THEN count(*) ELSE 0 END AS duplicates FROM {EVENTS} GROUP BY 1")
 def staged_dupes(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("request", F.floor(F.col("seq") / 100).cast("bigint"))
-    published = e.where("request % 3 = 0").select("request").distinct().withColumn("seen", F.lit(True))
-    g = e.groupBy("request").agg(F.count("*").alias("written")).join(published, "request", "left")
-    return g.select("request", "written", F.when(F.col("seen"), F.col("written")).otherwise(F.lit(0)).cast("bigint").alias("duplicates"))
+    return modes.staged_requests(e, "request", e.where("request % 3 = 0"))
 
 
 @query(f"SELECT seq, CASE WHEN avg(length(body) + lane * 2) OVER (PARTITION BY seq // 10) > 16 THEN 'permanent_mapping' END AS fault FROM {EVENTS}")
@@ -101,9 +99,16 @@ def oversize_batch(spark, sf_dir):
     return modes.oversize_requests(e, ["request"], F.length("body") + F.col("lane") * 2, 16).select("seq", "fault")
 
 
-@query(f"SELECT lane, count(*) AS records, 9 AS checkpoint FROM {EVENTS} GROUP BY lane")
+@query(f"SELECT lane, count(*) AS records, max(seq // 100) AS checkpoint FROM {EVENTS} GROUP BY lane")
 def lane_counts(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("lane").agg(F.count("*").alias("records")).withColumn("checkpoint", F.lit(9))
+    return modes.merge_committable(events(spark, sf_dir), ["lane"], F.floor(F.col("seq") / 100).cast("bigint"))
+
+
+@query("""SELECT upload, checkpoint, CASE WHEN checkpoint < top OR upload % 5 = 0 THEN 'already_committed' WHEN upload % 7 <> 0 THEN 'committed' ELSE 'dead_letter' END AS outcome
+ FROM (SELECT l_orderkey AS upload, l_linenumber AS checkpoint, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS top FROM lineitem)""")
+def commit_outcomes(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("checkpoint"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"))
+    return modes.resolve_commits(c, c.where("upload % 5 = 0"), c.where("upload % 7 <> 0"), "upload", "checkpoint", "name").select("upload", "checkpoint", "outcome")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(k in drift.DESTRUCTIVE).lower()})" for k in drift.KINDS) + ") v(kind, destructive)")
@@ -118,11 +123,11 @@ def drift_permits(spark, sf_dir):
     return cases.withColumn("permitted", drift.permits(F.col("policy"), F.col("kind")))
 
 
-@query("SELECT c_custkey AS id, c_acctbal AS amount_old, CAST(c_acctbal AS VARCHAR) IS NOT NULL AS has_amount FROM customer")
+@query("SELECT c_custkey AS id, c_nationkey AS nation_old, c_nationkey::VARCHAR AS nation FROM customer")
 def drift_lenient(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"))
-    out = drift.apply_changes(c, [{"kind": "alter_field_type", "from": "amount", "type": "decimal(20,4)"}], "lenient")
-    return out.select("id", "amount_old", F.col("amount").isNotNull().alias("has_amount"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    out = drift.apply_changes(c, [{"kind": "alter_field_type", "from": "nation", "type": "string"}], "lenient")
+    return out.select("id", "nation_old", "nation")
 
 
 @query("SELECT c_custkey AS id, c_name AS title, CAST(NULL AS VARCHAR) AS currency, CAST(c_nationkey AS BIGINT) AS n FROM customer")

@@ -42,8 +42,8 @@ def tail_verdict(spark, sf_dir):
 
 @query("SELECT min(c) AS floor_, substr(name, 1, 1) AS shard FROM (SELECT n_name AS name, n_nationkey * 10 AS c FROM nation) GROUP BY 2")
 def rescale_floor(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    return n.groupBy(F.substring("n_name", 1, 1).alias("shard")).agg(F.min(F.col("n_nationkey") * 10).alias("floor_"))
+    n = table(spark, sf_dir, "nation").withColumn("cursor", F.col("n_nationkey") * 10)
+    return S.rescale(n, F.substring("n_name", 1, 1), "cursor")
 
 
 def lanes(spark, sf_dir):
@@ -68,7 +68,7 @@ def lane_gating(spark, sf_dir):
 
 @query(f"SELECT id FROM {LANES} l WHERE NOT finished AND held AND {READABLE}")
 def lane_assigned(spark, sf_dir):
-    return S.gated(lanes(spark, sf_dir)).where("not finished and held and readable").select("id")
+    return S.assigned(lanes(spark, sf_dir)).select("id")
 
 
 @query(f"SELECT id, grp AS \"group\", finished FROM {LANES} WHERE grp = 'g1' AND id > 1 ORDER BY id LIMIT 3")
@@ -86,7 +86,7 @@ def lane_partition(spark, sf_dir):
 @query("SELECT id FROM (SELECT n_nationkey AS id, (n_nationkey + 20) % 25 AS turn FROM nation) WHERE turn < 8")
 def backlog_poll(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
-    return n.where((F.col("id") + 20) % 25 < 8)  # round robin: so many lanes a tick, from where the last tick stopped
+    return S.polled(n, "id", 25, 5, 8)
 
 
 @query(f"SELECT (greatest(0, least(max(tm), (SELECT min(tm) + 86400000000 FROM {EVENTS}) - 60000000)) // 1000000) * 1000000 AS watermark FROM {EVENTS}")
@@ -100,23 +100,35 @@ def poll_watermark(spark, sf_dir):
 def poll_dedupe(spark, sf_dir):
     e = events(spark, sf_dir)
     w = F.coalesce(e.agg(F.min("tm")).scalar(), F.lit(0)) + 43_200_000_000
-    pinned = e.where((F.col("tm") >= w - 3_600_000_000) & (F.col("tm") < w) & (F.col("seq") % 2 == 0)).select("seq")
-    return e.where(F.col("tm") >= w - 3_600_000_000).join(pinned, "seq", "left_anti").select("seq")
+    pinned = e.where((F.col("tm") >= w - 3_600_000_000) & (F.col("seq") % 2 == 0)).select("seq")
+    return S.poll(e, "seq", "tm", S.poll_from(w, F.lit(0), 3_600_000_000), w, pinned).select("seq")
+
+
+@query(f"""SELECT 'full' AS how, count(*) AS n, max(seq) AS top FROM {EVENTS} UNION ALL SELECT 'since', count(*), max(seq) FROM {EVENTS} WHERE seq > 300
+ UNION ALL SELECT 'dedup', count(*), max(top) FROM (SELECT key, max(seq) AS top FROM {EVENTS} WHERE seq > 300 GROUP BY key)""")
+def read_modes(spark, sf_dir):
+    e = events(spark, sf_dir).select("key", "seq", "value")
+    told = lambda how, mode: S.read_mode(e, mode, ["key"], "seq", F.lit(300)).agg(F.count("*").alias("n"), F.max("seq").alias("top")).select(F.lit(how).alias("how"), "n", "top")
+    return told("full", "full_refresh").unionByName(told("since", "incremental")).unionByName(told("dedup", "append_dedup"))
+
+
+@query(f"SELECT seq AS id, false AS overflow FROM {EVENTS} WHERE tm >= (SELECT max(tm) - 7200000000 FROM {EVENTS})")
+def poll_pins(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return S.pin(e, "seq", "tm", e.agg(F.max("tm")).scalar(), 7_200_000_000, 1 << 40)
 
 
 @query("""SELECT coalesce(a.n_name, b.n_name) AS stream, CASE WHEN a.n_name IS NULL THEN 'announce' WHEN b.n_name IS NULL THEN 'retire' ELSE 'keep' END AS action
  FROM (SELECT n_name FROM nation WHERE n_nationkey % 3 <> 0) a FULL JOIN (SELECT n_name FROM nation WHERE n_nationkey % 4 <> 0) b ON a.n_name = b.n_name""")
 def catalog_diff(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    known = n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("stream"), F.lit(True).alias("known"))
-    live = n.where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("stream"), F.lit(True).alias("live"))
-    action = F.when(F.col("known").isNull(), "announce").when(F.col("live").isNull(), "retire").otherwise("keep")
-    return known.join(live, "stream", "full").select("stream", action.alias("action"))
+    names = lambda which: n.where(which).select(F.col("n_name").alias("stream"))
+    return S.catalog_diff(names("n_nationkey % 3 <> 0"), names("n_nationkey % 4 <> 0"), "stream")
 
 
 @query(f"SELECT seq, CASE WHEN lane = 0 THEN 'scan_read' WHEN seq % 97 = 0 THEN 'delete' WHEN seq % 3 = 0 THEN 'update' ELSE 'insert' END AS op FROM {EVENTS}")
 def change_op(spark, sf_dir):
-    op = F.when(F.col("lane") == 0, "scan_read").when(F.col("seq") % 97 == 0, "delete").when(F.col("seq") % 3 == 0, "update").otherwise("insert")
+    op = S.change_op(F.col("lane") == 0, F.col("seq") % 97 == 0, F.col("seq") % 3 == 0)
     return events(spark, sf_dir).select("seq", op.alias("op"))
 
 
@@ -130,21 +142,17 @@ def shadow(spark, sf_dir):
 def drift_program(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     attr = F.when(F.col("id") % 3 == 0, F.lit('"text"')).when(F.col("id") % 3 == 1, F.lit("5")).otherwise(F.lit('{"a": 1}'))
-    kind = F.regexp_extract(F.schema_of_variant(F.parse_json(attr)), "^[A-Z]+", 0)
-    return o.select("id", F.when(kind == "STRING", "VARCHAR").when(kind == "BIGINT", "UBIGINT").otherwise(kind).alias("kind"))
+    return o.select("id", S.variant_kind(F.parse_json(attr), {"STRING": "VARCHAR", "BIGINT": "UBIGINT"}).alias("kind"))
 
 
 @query("SELECT id, NOT gated AND NOT finished AND (NOT held OR own OR expired) AS claimable FROM (SELECT n_nationkey AS id, n_nationkey % 4 = 3 AS gated, n_nationkey % 3 = 1 AS finished, n_nationkey % 2 = 0 AS held, n_nationkey % 5 = 0 AS own, n_nationkey * 20 + 120 < 400 AS expired FROM nation)")
 def claimable(spark, sf_dir):
     i = F.col("n_nationkey")
-    free = (i % 2 != 0) | (i % 5 == 0) | (i * 20 + 120 < 400)  # unheld, own, or expired with the grace added
-    return table(spark, sf_dir, "nation").select(i.alias("id"), ((i % 4 != 3) & (i % 3 != 1) & free).alias("claimable"))
+    return table(spark, sf_dir, "nation").select(i.alias("id"), S.claimable(i % 4 == 3, i % 3 == 1, i % 2 == 0, i % 5 == 0, i * 20, F.lit(400)).alias("claimable"))
 
 
 @query("SELECT n_name AS lane, CASE WHEN n_nationkey % 3 = 0 THEN 'withdrawn' WHEN n_nationkey % 4 = 0 THEN 'new' ELSE 'kept' END AS plan, CASE WHEN n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0 THEN n_regionkey END AS worker FROM nation")
 def replan_diff(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    old = n.where("n_nationkey % 3 = 0 or n_nationkey % 4 <> 0").select(F.col("n_name").alias("lane"), F.col("n_regionkey").alias("worker"), F.lit(True).alias("was"))
-    new = n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("lane"), F.lit(True).alias("is"))
-    plan = F.when(F.col("is").isNull(), "withdrawn").when(F.col("was").isNull(), "new").otherwise("kept")
-    return old.join(new, "lane", "full").select("lane", plan.alias("plan"), F.when(plan == "kept", F.col("worker")).alias("worker"))
+    old = n.where("n_nationkey % 3 = 0 or n_nationkey % 4 <> 0").select(F.col("n_name").alias("lane"), F.col("n_regionkey").alias("worker"))
+    return S.replan(old, n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("lane")))

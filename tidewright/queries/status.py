@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import status as S
@@ -23,45 +22,42 @@ L = """(SELECT n_nationkey AS id, 's' || n_regionkey AS stream, n_nationkey * 10
 
 @query(f"SELECT stream, sum(records)::BIGINT AS records, max(age)::BIGINT AS age, count(*) FILTER (WHERE finished) AS finished, count(*) FILTER (WHERE blocked) AS blocked, count(*) AS lanes FROM {L} GROUP BY stream")
 def stream_rollup(spark, sf_dir):
-    g = lane_table(spark, sf_dir).groupBy("stream")
-    return g.agg(F.sum("records").alias("records"), F.max("age").alias("age"), F.count_if("finished").alias("finished"), F.count_if("blocked").alias("blocked"), F.count("*").alias("lanes"))
+    return S.stream_rollup(lane_table(spark, sf_dir))
 
 
 @query(f"SELECT stream, CASE WHEN count(backlog) = count(*) THEN sum(backlog)::BIGINT END AS backlog, bool_and(backlog IS NOT NULL) AS exact, min(age)::BIGINT AS as_of FROM {L} GROUP BY stream")
 def backlog_rollup(spark, sf_dir):
-    g = lane_table(spark, sf_dir).groupBy("stream")
-    return g.agg(S.all_or_null("backlog").alias("backlog"), F.bool_and(F.col("backlog").isNotNull()).alias("exact"), F.min("age").alias("as_of"))
+    return S.backlog(lane_table(spark, sf_dir), ["stream"])
 
 
 @query(f"SELECT node, count(id) AS lanes, sum(records)::BIGINT AS records FROM (VALUES ('s0'), ('s1'), ('idle')) v(node) LEFT JOIN {L} ON stream = node GROUP BY node")
 def node_rollup(spark, sf_dir):
     spec = spark.createDataFrame([("s0",), ("s1",), ("idle",)], "node string")
-    return spec.join(lane_table(spark, sf_dir).withColumnRenamed("stream", "node"), "node", "left").groupBy("node").agg(F.count("id").alias("lanes"), F.sum("records").alias("records"))
+    return S.node_rollup(spec, lane_table(spark, sf_dir).withColumnRenamed("stream", "node"))
 
 
-@query(f"SELECT stream, CASE WHEN count(*) FILTER (WHERE weight = 1) = 0 THEN sum(weight) FILTER (WHERE finished) * 1.0 / sum(weight) END AS progress FROM {L} GROUP BY stream")
+@query(f"SELECT stream, CASE WHEN count(*) FILTER (WHERE weight = 1) = 0 THEN coalesce(sum(weight) FILTER (WHERE finished), 0) * 1.0 / sum(weight) END AS progress FROM {L} GROUP BY stream")
 def scan_progress(spark, sf_dir):
-    g = lane_table(spark, sf_dir).withColumn("weight", F.col("weight") - F.when(F.col("weight") == 1, 1).otherwise(0)).groupBy("stream")  # weight 0: not known
-    done = F.sum(F.when(F.col("finished"), F.col("weight")))
-    return g.agg(F.when(F.count_if(F.col("weight") == 0) == 0, done / F.sum("weight")).alias("progress"))
+    t = lane_table(spark, sf_dir).withColumn("weight", F.col("weight") - F.when(F.col("weight") == 1, 1).otherwise(0))  # weight 0: not known
+    return S.scan_progress(t, ["stream"])
 
 
-@query(f"SELECT lane, step, total, (total - lag(total) OVER w) * 1.0 / 500 AS per_ms FROM (SELECT lane, seq // 100 AS step, max(seq) AS total FROM {EVENTS} GROUP BY 1, 2) WINDOW w AS (PARTITION BY lane ORDER BY step)")
+@query(f"""SELECT lane, t_ms, total, CASE WHEN t_ms - lag(t_ms) OVER w >= 500 THEN (total - lag(total) OVER w) * 1.0 / (t_ms - lag(t_ms) OVER w) END AS per_ms
+ FROM (SELECT lane, max(tm) // 1000 AS t_ms, max(seq) AS total FROM {EVENTS} GROUP BY lane, seq // 100) WINDOW w AS (PARTITION BY lane ORDER BY t_ms)""")
 def throughput(spark, sf_dir):
-    s = events(spark, sf_dir).groupBy("lane", F.floor(F.col("seq") / 100).cast("bigint").alias("step")).agg(F.max("seq").alias("total"))
-    w = Window.partitionBy("lane").orderBy("step")
-    return s.withColumn("per_ms", (F.col("total") - F.lag("total").over(w)) / 500)
+    s = events(spark, sf_dir).groupBy("lane", F.floor(F.col("seq") / 100).alias("step")).agg(F.floor(F.max("tm") / 1000).alias("t_ms"), F.max("seq").alias("total"))
+    return S.throughput(s.drop("step"), ["lane"], "t_ms", "total")
 
 
 @query(f"SELECT lane, count(*) - count(*) FILTER (WHERE seq % 11 NOT IN (3, 7)) - count(*) FILTER (WHERE seq % 11 = 3) AS delta FROM {EVENTS} GROUP BY lane")
 def reconcile_delta(spark, sf_dir):
     n = F.col("seq") % 11
-    return events(spark, sf_dir).groupBy("lane").agg((F.count("*") - F.count_if(~n.isin(3, 7)) - F.count_if(n == 3)).alias("delta"))
+    return S.reconcile_delta(events(spark, sf_dir), ["lane"], ~n.isin(3, 7), n == 3)
 
 
 @query(f"SELECT stream, CASE WHEN lane < 4 THEN 'a' ELSE 'b' END AS node, count(*) AS total FROM {EVENTS} GROUP BY ALL")
 def metric_counters(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("stream", F.when(F.col("lane") < 4, "a").otherwise("b").alias("node")).agg(F.count("*").alias("total"))
+    return S.counters(events(spark, sf_dir), {"stream": F.col("stream"), "node": F.when(F.col("lane") < 4, "a").otherwise("b")})
 
 
 @query(f"SELECT stream, le, CASE le WHEN '+Inf' THEN count(value) ELSE count(*) FILTER (WHERE value <= try_cast(le AS DOUBLE)) END AS n FROM {EVENTS}, (VALUES ('1.0'), ('10.0'), ('50.0'), ('+Inf')) b(le) GROUP BY stream, le")
@@ -74,19 +70,36 @@ def condition_progressing(spark, sf_dir):
     e = events(spark, sf_dir)
     g = e.groupBy("lane").agg(F.count_if(F.col("seq") % 11 != 3).alias("seen"), F.max(F.when(F.col("seq") % 5 == 0, F.col("tm"))).alias("durable"))
     recent = F.coalesce(F.col("top") - F.col("durable") <= 3_000_000_000, F.lit(False))
-    return g.crossJoin(e.agg(F.max("tm").alias("top"))).select("lane", F.when(F.col("seen") == 0, "unknown").when(recent, "true").otherwise("false").alias("progressing"))
+    return g.withColumn("top", e.agg(F.max("tm")).scalar()).select("lane", F.when(F.col("seen") == 0, "unknown").when(recent, "true").otherwise("false").alias("progressing"))
 
 
 @query(f"SELECT lane, stream AS node, count(*) AS records, count(*) FILTER (WHERE seq % 11 = 3) AS abandoned FROM {EVENTS} GROUP BY ALL")
 def abandoned_by(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("lane", F.col("stream").alias("node")).agg(F.count("*").alias("records"), F.count_if(F.col("seq") % 11 == 3).alias("abandoned"))
+    return S.acknowledged(events(spark, sf_dir).withColumnRenamed("stream", "node"), ["lane", "node"], F.col("seq") % 11 == 3)
 
 
 @query(f"SELECT lane, seq FROM {EVENTS} WHERE seq % 11 = 7 AND (SELECT max(tm) FROM {EVENTS}) - tm > 600000000")
 def leaks(spark, sf_dir):
     e = events(spark, sf_dir)
-    top = e.agg(F.max("tm").alias("top"))
-    return e.where("seq % 11 = 7").crossJoin(top).where("top - tm > 600000000").select("lane", "seq")
+    return S.leaked(e, F.col("seq") % 11 == 7, "tm", 600_000_000).select("lane", "seq")
+
+
+FACTS = """(SELECT n_nationkey AS id, n_nationkey % 3 AS applied, CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey % 2 END AS stored, n_nationkey % 5 AS total, n_nationkey % 2 AS finished, n_nationkey % 6 // 5 AS blocked, n_nationkey % 7 // 6 AS abandoned,
+ CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey % 3 = 1 END AS source_ready, n_nationkey % 2 = 0 AS caught_up, CASE WHEN n_nationkey % 4 > 1 THEN n_nationkey * 400000 END AS advanced, n_nationkey * 500000 AS started FROM nation)"""
+
+
+@query(f"""SELECT id, c[1] AS condition, c[2] AS status FROM (SELECT id, unnest([['configured', 'true'], ['spec_applied', CASE WHEN stored IS NULL OR stored = applied THEN 'true' ELSE 'false' END], ['assigned', (total > 0)::VARCHAR],
+ ['source_ready', coalesce(source_ready::VARCHAR, 'unknown')], ['sink_ready', 'true'],
+ ['progressing', CASE WHEN total = 0 OR finished = total THEN 'false' WHEN advanced >= 7000000 THEN 'true' WHEN advanced IS NULL AND started >= 7000000 THEN 'unknown' ELSE 'false' END],
+ ['caught_up', CASE WHEN total = 0 THEN 'unknown' ELSE caught_up::VARCHAR END], ['backpressured', (blocked > 0)::VARCHAR], ['degraded', (abandoned > 0)::VARCHAR]]) AS c FROM {FACTS})""")
+def conditions(spark, sf_dir):
+    i = F.col("n_nationkey")
+    facts = table(spark, sf_dir, "nation").select(
+        i.alias("id"), (i % 3).alias("applied"), F.when(i % 4 > 0, i % 2).alias("stored"), (i % 5).alias("total"), (i % 2).alias("finished"), F.floor(i % 6 / 5).alias("blocked"), F.floor(i % 7 / 6).alias("abandoned"),
+        F.when(i % 3 > 0, i % 3 == 1).alias("source_ready"), F.lit(True).alias("sink_ready"), (i % 2 == 0).alias("caught_up"), F.when(i % 4 > 1, i * 400_000).alias("advanced"), (i * 500_000).alias("started"),
+        F.lit(0).alias("leaked"), F.lit(0).alias("downgrades"), F.lit(None).cast("string").alias("fault"),
+    )
+    return S.conditions(facts, "id", F.lit(10_000_000), 1_000_000)
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_regionkey > 0 THEN least(1.0, greatest(0.0, (n_nationkey - 3) * 1.0 / (n_regionkey * 5))) END AS fraction FROM nation")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.predicate import compile_predicate, resolve
@@ -131,10 +132,24 @@ def txn_id(spark, sf_dir):
     return o.join(files, "o_orderkey").select("o_orderkey", identity.commit_id(F.col("o_orderstatus"), F.col("files"), "|").alias("txn"))
 
 
-@query("SELECT n_name, substr(sha256('f{' || n_name || ':string;null}f{id:int64;i}'), 1, 32) AS fp FROM nation")
+@query("""SELECT 'nation' AS name, substr(sha256('s{k:n_nationkey;f{n_nationkey:int32;null}f{n_name:string;null}f{n_regionkey:int32;null}}'), 1, 32) AS fp
+ UNION ALL SELECT 'price', substr(sha256('s{open;f{p:decimal;null;l:p20:s4}}'), 1, 32) UNION ALL SELECT 'none', repeat('0', 32)""")
 def schema_fp(spark, sf_dir):
-    form = F.concat(F.lit("f{"), "n_name", F.lit(":string;null}f{id:int64;i}"))
-    return table(spark, sf_dir, "nation").select("n_name", identity.fingerprint(form).alias("fp"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int")).schema
+    found = [("nation", identity.schema_fingerprint(nation, ["n_nationkey"])), ("price", identity.schema_fingerprint(StructType([StructField("p", DecimalType(20, 4))]), opened=True)), ("none", identity.schema_fingerprint(None))]
+    return spark.createDataFrame(found, "name string, fp string")
+
+
+@query("""SELECT event_id, '{"bytes":"' || base64(encode(props)) || '","list":[' || event_id || ',null,' || user_id || '],"map":{"a":"' || event_type || '","b":' || CASE WHEN event_id % 2 = 0 THEN '1e+06' ELSE '0.5' END || '}'
+ || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"opt":{"day":"2024-02-03"}' END || ',"price":"' || printf('%d.%02d', event_id // 100, event_id % 100) || '","yes":' || (event_id % 2 = 0)::VARCHAR || '}' AS json FROM events""")
+def encode_structure(spark, sf_dir):
+    i = F.col("event_id")
+    whole = F.struct(
+        F.encode("props", "UTF-8").alias("bytes"), F.array(i, F.lit(None), F.col("user_id")).alias("list"), F.struct(F.when(i % 2 == 0, 1e6).otherwise(0.5).alias("b"), F.lit(None).cast("string").alias("gone"), F.col("event_type").alias("a")).alias("map"),
+        F.when(i % 3 != 0, F.create_map(F.lit("day"), F.lit("2024-02-03").cast("date"), F.lit("none"), F.lit(None).cast("date"))).alias("opt"), (i.cast("decimal(20,2)") / 100).cast("decimal(20,2)").alias("price"), (i % 2 == 0).alias("yes"),
+    )
+    e = table(spark, sf_dir, "events").select("event_id", whole.alias("whole"))
+    return e.select("event_id", T.json_value(F.col("whole"), e.schema["whole"].dataType).alias("json"))
 
 
 @query("SELECT event_id, encode(props) AS body FROM events".replace("encode(props)", "hex(encode(props))"))
@@ -191,7 +206,9 @@ def request_framed(spark, sf_dir):
 
 @query(f"SELECT lane, seq AS request, body AS frame, 1 AS records FROM {EVENTS}")
 def request_unframed(spark, sf_dir):
-    return events(spark, sf_dir).select("lane", F.col("seq").alias("request"), F.col("body").alias("frame"), F.lit(1).alias("records"))
+    from ..functions.codec import requests
+
+    return requests(events(spark, sf_dir), ["lane"], "seq", F.col("body"), framed=False)
 
 
 @query("SELECT lane, unnest(string_split(frame, chr(10))) AS line FROM (SELECT user_id % 8 AS lane, string_agg(props, chr(10) ORDER BY event_id) AS frame FROM events GROUP BY 1)")
