@@ -22,9 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .mixture_packing import batch_type
-from .storage import drop_materialized, materialize
-from .suffix_dedup import Hasher, mixed
+from .storage import drop_materialized, materialize, portions
+from .suffix_dedup import Hasher, mixed, row_key
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 26, 4, 512
 #: Bytes hashed at a time; a longer text has a buffer of its own. Nodes in one block of a bucket that is compared whole.
@@ -42,7 +41,7 @@ class Shingler:
     def __init__(self, words: int):
         self.words, self.hasher = words, Hasher(PART, 5)
 
-    def __call__(self, text: bytes) -> np.ndarray:
+    def __call__(self, text: bytes | pa.Buffer) -> np.ndarray:
         data = LOWER[np.frombuffer(text, np.uint8)]
         if len(data) >= len(self.hasher.up):
             self.hasher = Hasher(2 * len(data), 5)
@@ -89,7 +88,7 @@ def flips(a: Column, b: Column) -> Column:
 
 
 def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, n_shingles, component_id, kept, and tag (32-bit hash of the text, for joining back).
+    """One row per input row: id_col, n_shingles, component_id, kept, and key (row_key, for joining back).
 
     Letters A-Z are lowered and words are runs of bytes other than white space (0x20, 0x09-0x0D). A text's set holds its distinct
     shingles of ``words`` words; with fewer words, the whole sequence as one. Texts are linked when
@@ -98,30 +97,31 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     set are in one component and share ``kept``. A null id never is a component's id unless it is alone there.
     An empty table gives no rows. A link is missed only if no band agrees: 1 in a million at similarity 0.8, less above.
     """
-    kind, id_type = df.schema[id_col].dataType.simpleString(), batch_type(df, id_col)
+    kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("key"), text.alias("text"))
     ratio, limit = percent, most_flips(percent / 100)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         factors = np.random.default_rng(7).integers(0, 1 << 63, (SAMPLES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            sets, size, keys, odds = [], [], [], []
-            for t in batch.column(2).cast(pa.binary()).to_pylist():
-                s = shingler(t)
-                key, odd = sketch(s, factors) if len(s) else (None, None)
-                size.append(len(s))
-                sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(key)
-                odds.append(odd)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))],
-                names=["id", "tag", "n", "set", "bands", "odd"],
-            )
-
-    found = materialize(docs.mapInArrow(sketches, f"id {kind}, tag int, n long, set binary, bands array<long>, odd array<long>"), "sketches")
-    nodes = found.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.min(F.struct("id", "tag")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+            for some in portions(batch, 2, PART):
+                sets, size, keys, odds = [], [], [], []
+                for t in some.column(2).cast(pa.binary()):
+                    s = shingler(t.as_buffer())
+                    key, odd = sketch(s, factors) if len(s) else (None, None)
+                    size.append(len(s))
+                    sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    keys.append(key)
+                    odds.append(odd)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))],
+                    names=["id", "row", "n", "set", "bands", "odd"],
+                )
+
+    found = materialize(docs.mapInArrow(sketches, f"id {kind}, row binary, n long, set binary, bands array<long>, odd array<long>"), "sketches")
+    nodes = found.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.min("row").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     entries = nodes.select(F.explode("bands").alias("key"), "node")
@@ -138,15 +138,18 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
+        seen: set[int] = set()  # rows that repeat id and text have one key, so they come to one task, or to few where it is split
         for batch in batches:
-            sets = [shingler(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            # of the 16-bit values of a set, which is all that a first comparison needs
-            short = [np.unique((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(short, pa.binary())], names=["node", "shingles", "short"])
-
-    # rows of equal id and text hash repeat one text; should their texts differ, either may stand for the node
-    reps = nodes.join(met.select("node").distinct(), "node").select("node", F.col("rep.id").alias("i"), F.col("rep.tag").alias("t"), "n")
-    texts = docs.join(reps, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("node", "text")
+            for some in portions(batch, 1, PART):
+                nodes = some.column(0).to_pylist()
+                new = [n not in seen and not seen.add(n) for n in nodes]
+                sets = [shingler(t.as_buffer()) for t in some.column(1).cast(pa.binary()).filter(pa.array(new, pa.bool_()))]
+                # of the 16-bit values of a set, which is all that a first comparison needs
+                short = [np.unique((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(pa.array(new, pa.bool_())), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(short, pa.binary())], names=["node", "shingles", "short"])
+
+    reps = nodes.join(met.select("node").distinct(), "node").select("node", F.col("rep").alias("key"))
+    texts = docs.join(reps, "key").select("node", "text")
     sets = materialize(texts.mapInArrow(sets_of, "node long, shingles binary, short binary"), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +220,16 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = nodes.join(roots, F.col("node") == F.col("linked"), "left").select("set", "least", F.coalesce("root", "node").alias("root"))
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(heads, "root").select("set", "component_id")
-    out = found.where("n > 0").join(classes, "set").select("id", "n", "component_id", "tag")
-    out = out.unionByName(found.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "tag"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "tag")
+    out = found.where("n > 0").join(classes, "set").select("id", "n", "component_id", "row")
+    out = out.unionByName(found.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "row"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("row").alias("key"))
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without those whose component keeps another; repeated rows leave one."""
     groups = near_groups(df, words, percent, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.col("tag").alias("gone_tag")).distinct()
+    gone = groups.where(~F.col("kept")).select("key").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # as one column, so that no name can clash
-    held = df.select(row.alias("row"), F.col(id_col).alias("id"), F.hash(text).alias("tag"), F.xxhash64(text).alias("more"))
-    held = held.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tag") == F.col("gone_tag")), "left_anti")
-    return held.dropDuplicates(["id", "tag", "more"]).select("row.*")
+    held = df.select(row.alias("row"), row_key(F.col(id_col), text).alias("key"))
+    return held.join(gone, "key", "left_anti").dropDuplicates(["key"]).select("row.*")

@@ -21,10 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixture_packing import batch_type
 from .storage import drop_materialized, materialize
 from .suffixes import repeated_windows
 
@@ -77,6 +76,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """128 bits of the SHA-256 of id and text: rows that share it are one another's repeats; it tells rows of one (or a null) id apart."""
+    id_ = F.coalesce(id_.cast("string"), F.lit("null"))
+    return F.unhex(F.substring(F.sha2(F.concat(F.length(id_), F.lit("|"), id_, text), 256), 1, 32))
+
+
 def anchors(hasher: Hasher, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(class, stretch hash, first string's start, number of strings) of each anchor of one text or part of ``size`` bytes or more."""
     sums = hasher.sums(data)
@@ -104,18 +109,18 @@ def remove_repeats(
     removed runs as (start, stop). Null text: empty, 0 bytes. Texts shorter than ``size`` stay whole. Rows that repeat id and
     text repeat each other, so both lose all of ``size`` or more bytes. Null ids are kept. An empty table gives no rows.
     """
-    kind, id_type = df.schema[id_col].dataType.simpleString(), batch_type(df, id_col)
+    kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns] if carry else [])
-    carried = df.select(F.col(id_col).alias("id"), F.hash(text).alias("tag"), text.alias("text"), *[row.alias("row")] * carry)
-    docs = carried.select("id", "tag", "text")  # rows of one id are told apart by their texts' hashes
+    carried = df.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("key"), text.alias("text"), *[row.alias("row")] * carry)
+    docs = carried.select("key", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PART)
         for batch in batches:
-            ids, tags = batch.column(0), batch.column(1)
+            keys = batch.column(0)
             rows, found = [], []
-            for i, data in enumerate(batch.column(2).cast(pa.binary())):
+            for i, data in enumerate(batch.column(1).cast(pa.binary())):
                 data = np.frombuffer(data.as_buffer(), np.uint8)
                 for at in range(0, max(0, len(data) - size + 1), PART - size + 1):
                     part = data[at : at + PART]
@@ -127,43 +132,42 @@ def remove_repeats(
                     h, stretch, first, count = map(np.concatenate, zip(*found, strict=True))
                     take = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), tags.take(take), pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(first), pa.array(count.astype(np.int32))],
-                        names=["id", "tag", "h", "stretch", "first", "n"],
+                        [keys.take(take), pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(first), pa.array(count.astype(np.int32))],
+                        names=["key", "h", "stretch", "first", "n"],
                     )
                     rows, found = [], []
 
-    places = materialize(docs.mapInArrow(find, f"id {kind}, tag int, h long, stretch long, first long, n int"), "places")
+    places = materialize(docs.mapInArrow(find, "key binary, h long, stretch long, first long, n int"), "places")
     classes = places.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("times > 1")
     shared = materialize(places.join(classes.select("h", (F.col("lo") == F.col("hi")).alias("alike")), "h"), "shared")
     drop_materialized(places)
     # one place for each stretch of a class, with how many there are; `times` > 1: each of them repeats as a whole
-    stretches = shared.where("not alike").groupBy("h", "stretch").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "tag", "first", "n")).alias("p"))
+    stretches = shared.where("not alike").groupBy("h", "stretch").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "first", "n")).alias("p"))
     stretches = materialize(stretches.select("h", "stretch", "times", "p.*"), "stretches")
     repeated = stretches.where("times > 1").select("h", "stretch")
     whole = shared.where("alike").unionByName(shared.where("not alike").join(repeated, ["h", "stretch"], "left_semi"))
-    whole = whole.select("id", "tag", "first", (F.col("first") + F.col("n") - 1 + size).alias("stop"))
+    whole = whole.select("key", "first", (F.col("first") + F.col("n") - 1 + size).alias("stop"))
 
     wide = stretches.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > max_class).select("h")
     wanted = stretches.join(wide.withColumn("wide", F.lit(True)), "h", "left")
-    wanted = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("h", "first", "n", "times", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("places"))
+    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "first", "n", "times", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("places"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 some = batch.slice(at, 64)
-                out: list[list] = [[] for _ in range(7)]
-                for doc, tag, data, found in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).cast(pa.binary()).to_pylist(), some.column(3).to_pylist(), strict=True):
+                out: list[list] = [[] for _ in range(6)]
+                for key, data, found in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), some.column(2).to_pylist(), strict=True):
                     for p in found:
-                        row = (doc, tag, p["h"], p["first"], p["times"], p["wide"], data[p["first"] : p["first"] + p["n"] - 1 + size])
+                        row = (key, p["h"], p["first"], p["times"], p["wide"], data[p["first"] : p["first"] + p["n"] - 1 + size])
                         for column, x in zip(out, row, strict=True):
                             column.append(x)
-                types = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "tag", "h", "first", "times", "wide", "data"])
+                types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "h", "first", "times", "wide", "data"])
 
-    w = wanted.select(F.col("id").alias("i"), F.col("tag").alias("t"), "places")
-    held = docs.join(w, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("id", "tag", "text", "places")
+    held = docs.join(wanted, "key").select("key", "text", "places")
     # rows that repeat id and text hold the same bytes: one is enough, and stands for a stretch that has another place
-    bytes_of = held.mapInArrow(read, f"id {kind}, tag int, h long, first long, times long, wide boolean, data binary")
+    bytes_of = held.mapInArrow(read, "key binary, h long, first long, times long, wide boolean, data binary")
     bytes_of = materialize(bytes_of, "bytes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,38 +176,35 @@ def remove_repeats(
 
         def flush() -> pa.RecordBatch:
             firsts, stops, rows = [], [], []
-            for row, hit in zip(held, repeated_windows([r[4] for r in held], size), strict=True):
+            for row, hit in zip(held, repeated_windows([r[3] for r in held], size), strict=True):
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 for a, b in edges.reshape(-1, 2).tolist():
                     rows.append(row)
-                    firsts.append(row[3] + a)
-                    stops.append(row[3] + b - 1 + size)
+                    firsts.append(row[2] + a)
+                    stops.append(row[2] + b - 1 + size)
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.int32()), pa.array(firsts, pa.int64()), pa.array(stops, pa.int64())],
-                names=["id", "tag", "first", "stop"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array(firsts, pa.int64()), pa.array(stops, pa.int64())], names=["key", "first", "stop"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] != last and held_bytes >= BLOCK:  # a class never lies in two blocks
+                if row[1] != last and held_bytes >= BLOCK:  # a class never lies in two blocks
                     yield flush()
                     held_bytes = 0
-                last = row[2]
+                last = row[1]
                 held.append(row)
-                held_bytes += len(row[4])
+                held_bytes += len(row[3])
         if held:
             yield flush()
 
-    narrow = bytes_of.where("not wide").dropDuplicates(["id", "tag", "h", "first"]).select("id", "tag", "h", "first", "data")
-    partly = narrow.repartition("h").sortWithinPartitions("h").mapInArrow(compare, f"id {kind}, tag int, first long, stop long")
+    narrow = bytes_of.where("not wide").dropDuplicates(["key", "h", "first"]).select("key", "h", "first", "data")
+    partly = narrow.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "key binary, first long, stop long")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The strings of a place by cells of CELL strings, counted from the anchor, so that equal strings lie in equal cells."""
         grams, one, two = Hasher(2 * size + 2), Hasher(2 * size + 2, 1), Hasher(2 * size + 2, 2)
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc, tag, h, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list] = [[] for _ in range(8)]
+            for key, h, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(text, np.uint8)
                 at = np.arange(size - GRAM + 1)
                 anchor = int(np.flatnonzero(grams.of(grams.sums(data), at, at + GRAM).view(np.int64) == h)[-1])
@@ -213,17 +214,17 @@ def remove_repeats(
                 for c in np.unique(cell):
                     mine = starts[cell == c]
                     lo, hi = mine[:1], mine[-1:] + size
-                    row = (h, int(c), int(one.of(a, lo, hi).view(np.int64)[0]), int(two.of(b, lo, hi).view(np.int64)[0]), doc, tag, first + int(lo[0]), len(mine), text[lo[0] : hi[0]])
+                    row = (h, int(c), int(one.of(a, lo, hi).view(np.int64)[0]), int(two.of(b, lo, hi).view(np.int64)[0]), key, first + int(lo[0]), len(mine), text[lo[0] : hi[0]])
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), id_type, pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "cell", "a", "b", "id", "tag", "first", "n", "data"])
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "cell", "a", "b", "key", "first", "n", "data"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Hasher(2 * size + 2, 1), Hasher(2 * size + 2, 2)
         for batch in batches:
             take, firsts, a, b = [], [], [], []
-            for i, (first, data) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (first, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 data = np.frombuffer(data, np.uint8)
                 at = np.arange(len(data) - size + 1)
                 for hasher, out in ((one, a), (two, b)):
@@ -233,26 +234,26 @@ def remove_repeats(
             if take:
                 rows = pa.array(np.concatenate(take))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(rows) for c in (0, 1)), batch.column(4).take(rows), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
-                    names=["id", "tag", "times", "first", "a", "b"],
+                    [batch.column(0).take(rows), batch.column(3).take(rows), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
+                    names=["key", "times", "first", "a", "b"],
                 )
 
-    hot = bytes_of.where("wide").dropDuplicates(["id", "tag", "h", "first"]).select("id", "tag", "h", "first", "data")
-    hot = hot.mapInArrow(cells, f"h long, cell int, a long, b long, id {kind}, tag int, first long, n int, data binary")
+    hot = bytes_of.where("wide").dropDuplicates(["key", "h", "first"]).select("key", "h", "first", "data")
+    hot = hot.mapInArrow(cells, "h long, cell int, a long, b long, key binary, first long, n int, data binary")
     hot = materialize(hot, "cells")
     cell = ["h", "cell", "a", "b"]
-    kinds = hot.groupBy(*cell).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "tag", "first", "data")).alias("p"))
+    kinds = hot.groupBy(*cell).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "first", "data")).alias("p"))
     kinds = materialize(kinds.select(*cell, "times", "p.*"), "kinds")
     whole_cells = hot.join(kinds.where("times > 1").select(*cell), cell, "left_semi")
     several = kinds.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "cell")
-    single = kinds.join(several, ["h", "cell"], "left_semi").select("id", "tag", "first", "data", "times")
-    single = single.mapInArrow(strings, f"id {kind}, tag int, times long, first long, a long, b long")
+    single = kinds.join(several, ["h", "cell"], "left_semi").select("key", "first", "data", "times")
+    single = single.mapInArrow(strings, "key binary, times long, first long, a long, b long")
     often = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b")
-    hot_spans = single.where("times = 1").join(often, ["a", "b"], "left_semi").select("id", "tag", "first", (F.col("first") + size).alias("stop"))
-    hot_spans = hot_spans.unionByName(whole_cells.select("id", "tag", "first", (F.col("first") + F.col("n") - 1 + size).alias("stop")))
+    hot_spans = single.where("times = 1").join(often, ["a", "b"], "left_semi").select("key", "first", (F.col("first") + size).alias("stop"))
+    hot_spans = hot_spans.unionByName(whole_cells.select("key", "first", (F.col("first") + F.col("n") - 1 + size).alias("stop")))
     spans = whole.unionByName(partly).unionByName(hot_spans)
-    spans = spans.groupBy(F.col("id").alias("i"), F.col("tag").alias("t")).agg(F.collect_set(F.struct("first", "stop")).alias("found"))
-    out = carried.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left").select("id", "text", "found", *["row"] * carry)
+    spans = spans.groupBy("key").agg(F.collect_set(F.struct("first", "stop")).alias("found"))
+    out = carried.join(spans, "key", "left").select("id", "text", "found", *["row"] * carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
