@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
+from .storage import portions
+
+#: Bytes of texts that are counted at a time, if not a single text has more.
+SLICE = 1 << 20
 
 
 def token_counts(
@@ -23,25 +27,26 @@ def token_counts(
     Counts are those of the vocabulary's library without added special tokens; a special string inside a text is one token.
     cut_chars is the length in characters of the longest prefix whose own count is at most ``limit``, taken from the prefix
     counts. A null text counts as empty (0 bytes, 0 tokens, cut 0); repeated rows each give a row; a null id stays null;
-    an empty table gives no rows; other columns are not read. Narrow: no shuffle, and one Arrow batch in memory at a time.
+    an empty table gives no rows; other columns are not read. Narrow: no shuffle.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = bpe.prefix_counts(vocabulary_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = [counts.count(t) for t in texts]
-            out = {
-                id_col: batch.column(0),
-                "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "over_limit": pa.array([n > limit for n in tokens], pa.bool_()),
-            }
-            if cut:
-                cuts = [len(t) if n <= limit else counts.within(t, limit) for t, n in zip(texts, tokens, strict=True)]
-                out["cut_chars"] = pa.array(cuts, pa.int64())
-            yield pa.RecordBatch.from_pydict(out)
+            for some in portions(batch, 1, SLICE):
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                tokens = [counts.count(t) for t in texts]
+                out = {
+                    id_col: some.column(0),
+                    "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),
+                    "n_tokens": pa.array(tokens, pa.int64()),
+                    "over_limit": pa.array([n > limit for n in tokens], pa.bool_()),
+                }
+                if cut:
+                    cuts = [len(t) if n <= limit else counts.within(t, limit) for t, n in zip(texts, tokens, strict=True)]
+                    out["cut_chars"] = pa.array(cuts, pa.int64())
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", cut_chars long" * cut
     return df.select(id_col, text_col).mapInArrow(run, schema)
