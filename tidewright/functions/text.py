@@ -70,9 +70,24 @@ def json_time(micros: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(at, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), F.lit('Z"'))
 
 
+def shortest(x: Column) -> Column:
+    """A double as text with the fewest digits that read back as itself. The platform's own text has up to two more for some numbers: where it is
+    long, shorter ones are tried."""
+    text, size = x.cast("string"), F.abs(x)
+    digits = F.length(F.regexp_replace(F.regexp_replace(text, "E.*$", ""), "[^0-9]", ""))
+
+    def like_text(c: Column) -> Column:
+        mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, "^([^e]+)e", 1), "0+$", ""), r"\.$", ".0")
+        plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+        return F.when((size >= 1e-3) & (size < 1e7), plain).otherwise(F.concat(mantissa, F.lit("E"), F.regexp_extract(c, "e(.*)$", 1).cast("int").cast("string")))
+
+    fifteen, sixteen = F.format_string("%.14e", x), F.format_string("%.15e", x)
+    return F.when(digits <= 15, text).when(fifteen.cast("double") == x, like_text(fifteen)).when(sixteen.cast("double") == x, like_text(sixteen)).otherwise(text)
+
+
 def json_float(x: Column) -> Column:
     """Shortest digits, in exponent form (two exponent digits at least) from a million on and below 1e-4, as the encoder's contract pins."""
-    text, size = x.cast("string"), F.abs(x)
+    text, size = shortest(x), F.abs(x)
     million = F.concat(F.regexp_replace(F.regexp_replace(text, r"^(-?\d)(\d{6})\.(\d+)$", "$1.$2$3"), r"\.?0+$", ""), F.lit("e+06"))
     small = F.concat(F.when(x < 0, "-0.000").otherwise("0.000"), F.regexp_replace(F.regexp_replace(text, r"^-?(\d)\.(\d+)E-4$", "$1$2"), "0+$", ""))
     power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "e+$1"), "E-", "e-")

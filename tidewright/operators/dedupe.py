@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +22,49 @@ def stream_dedupe(df: DataFrame, key: list[str], at: str, window: str) -> DataFr
     return df.withWatermark(at, window).dropDuplicatesWithinWatermark(key)
 
 
-def compare_and_set(df: DataFrame, key: str, order: str, want: str, drop: str) -> DataFrame:
-    """Writes of each key in order: one is applied if it wants the version there is; a delete starts versions afresh."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(want).alias("w"), F.col(drop).alias("d"))))
-    kind = "struct<version:bigint,out:array<struct<o:bigint,applied:boolean,version:bigint>>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("version"), F.array().cast("array<struct<o:bigint,applied:boolean,version:bigint>>").alias("out")).cast(kind)
+def compare_and_set(df: DataFrame, key: str, order: str, want: str, drop: str, epoch: str | None = None) -> DataFrame:
+    """key, order, applied, version: writes of each key in order; one is applied if it wants the version there is. A delete starts versions
+    afresh. With ``epoch`` a write below the key's highest epoch so far is fenced off, and that floor outlives a delete.
+
+    Sorted rows stream by, and the state of one key is held: time is linear, and a key's writes need not fit in memory.
+    """
+    fence = F.lit(0) if epoch is None else F.col(epoch)
+    rows = df.select(key, order, F.col(want).cast("bigint").alias("_w"), F.coalesce(F.col(drop), F.lit(False)).alias("_d"), F.coalesce(fence, F.lit(0)).cast("bigint").alias("_e"))
+    rows = rows.repartition(key).sortWithinPartitions(key, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, version, floor, begun = None, 0, 0, False
+        for batch in batches:
+            applied, versions = [], []
+            for k, w, d, e in zip(*(batch.column(n).to_pylist() for n in (0, 2, 3, 4)), strict=True):
+                if not begun or k != last:
+                    last, version, floor, begun = k, 0, e, True
+                fits = w == version and e >= floor
+                floor = max(floor, e) if fits else floor
+                version = (0 if d else version + 1) if fits else version
+                applied.append(fits)
+                versions.append(version)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(applied, pa.bool_()), pa.array(versions, pa.int64())], names=[key, order, "applied", "version"])
+
+    columns = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, order))
+    return rows.mapInArrow(run, f"{columns}, applied boolean, version bigint")
+
 
-    def step(acc, x):
-        applied = x["w"] == acc["version"]
-        version = F.when(~applied, acc["version"]).when(x["d"], F.lit(0).cast("bigint")).otherwise(acc["version"] + 1)
-        return F.struct(version.alias("version"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), applied.alias("applied"), version.alias("version")))).alias("out")).cast(kind)
+def transact(store: DataFrame, writes: DataFrame, key: str) -> DataFrame:
+    """key, applied, version, floor: one transaction over many keys, all or nothing.
 
-    done = df.groupBy(key).agg(items.alias("items")).select(key, F.explode(F.aggregate("items", zero, step)["out"]).alias("x"))
-    return done.select(key, F.col("x.o").alias(order), "x.applied", "x.version")
+    ``store``: key, version, floor (highest epoch written). ``writes``: key (once each), want, drop, epoch. All preconditions are checked,
+    then all writes are applied: each wants the version there is (0: none) and is not below the key's floor. Keys that are not written keep their row; a
+    deleted key keeps a row of version 0, as its floor outlives it.
+    """
+    both = store.select(key, "version", "floor").join(writes.select(key, "want", "drop", "epoch", F.lit(True).alias("_w")), key, "full")
+    now, floor = F.coalesce("version", F.lit(0)), F.coalesce("floor", F.col("epoch"))
+    fits = F.coalesce((F.col("want") == now) & (F.col("epoch") >= floor), F.lit(False))
+    agreed = F.coalesce(both.where("_w").agg(F.bool_and(fits)).scalar(), F.lit(False))
+    applied = agreed & F.col("_w").isNotNull()
+    version = F.when(applied, F.when(F.col("drop"), 0).otherwise(now + 1)).otherwise(F.col("version"))
+    out = both.select(key, applied.alias("applied"), version.cast("bigint").alias("version"), F.when(applied, F.greatest(floor, "epoch")).otherwise(F.col("floor")).alias("floor"))
+    return out.where("applied or version is not null")
 
 
 def scoped(*parts: Column) -> Column:

@@ -26,7 +26,8 @@ def staged_commit(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def upsert_batches(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: a new version of a keyed table for each batch, named by the batch id and built on the last lower one."""
+    """foreachBatch function: a new version of a keyed table for each batch, named by the batch id and built on the last lower one. The version
+    before stays for readers and for a repeated batch; older ones go."""
     from ..operators.modes import last_per_key, upsert
 
     def write(df: DataFrame, batch: int) -> None:
@@ -37,6 +38,9 @@ def upsert_batches(path: str, key: list[str], order: str) -> Callable[[DataFrame
         older = max((v for v in versions if v < batch), default=None)
         new = last_per_key(df, key, order).drop(order) if older is None else upsert(spark.read.parquet(f"{path}/v={older}"), df, key, order)
         new.write.mode("overwrite").parquet(f"{path}/v={batch}")
+        for old in versions:
+            if older is not None and old < older:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
 
     return write
 
