@@ -131,3 +131,47 @@ def test_push_inbox_acknowledges_after_commit():
     t.join()
     assert status == [204]
     box.server.shutdown()
+
+
+def test_push_inbox_bounds_bodies_and_joins_repeats():
+    from tidewright.sources.push import Inbox
+
+    box, status = Inbox(0, limit=5, timeout=5, most_bytes=8), []
+    ask = lambda body, **headers: urllib.request.Request(f"http://127.0.0.1:{box.port}/", data=body, method="POST", headers=headers)
+    with pytest.raises(urllib.error.HTTPError, match="413"):
+        urllib.request.urlopen(ask(b"x" * 9))
+    threads = [threading.Thread(target=lambda b=b: status.append(urllib.request.urlopen(ask(b, **{"Idempotency-Key": "k"})).status)) for b in (b"1", b"2")]
+    for t in threads:
+        t.start()
+    while not box.rows:
+        time.sleep(0.01)
+    time.sleep(0.3)
+    assert len(box.rows) == 1 and not status
+    box.settle(1)
+    for t in threads:
+        t.join()
+    assert status == [204, 204] and not box.keys
+    box.server.shutdown()
+
+
+def test_push_as_a_stream(spark, tmp_path):
+    import socket
+
+    from tidewright.sources.push import Push
+
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    spark.dataSource.register(Push)
+    stream = spark.readStream.format("http_push").options(port=str(port), ack_timeout="60").load()
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        status, until = [], time.time() + 60
+        while time.time() < until and not status:
+            try:
+                status.append(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}/", data=b"hello", method="POST"), timeout=60).status)
+            except (urllib.error.URLError, ConnectionError):
+                time.sleep(0.2)  # the server begins with the first micro-batch
+    finally:
+        query.stop()
+    assert status == [204] and [bytes(r.body) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [b"hello"]
