@@ -15,11 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import Bags, SubwordModel, WordScores, find_letter_words
+from .storage import chosen_rows, portions, sampled_texts, tidy
+from .subword import Bags, SubwordModel, WordScores, find_letter_words, letter_words
 from .toxicity import held_out
 
-#: Bounds on the sample a model is fitted on: languages, texts of each, words of one text (in bags of BAG words).
-LANGUAGES, SAMPLE_TEXTS, SAMPLE_CHARS, BAG = 200, 400, 20_000, 24
+#: Bounds on the sample a model is fitted on: texts of each language, texts and bytes of all; and words in a training bag.
+SAMPLE_TEXTS, SAMPLE_ROWS, SAMPLE_BYTES, BAG = 400, 20_000, 1 << 24, 24
+#: Steps of gradient descent (of 128 bags) at least, however small the sample.
+LEAST_STEPS = 600
+#: Bytes of texts that a task works on at a time, if not a single text has more.
+SLICE = 1 << 18
 UNKNOWN = "und"
 #: Most of the correct texts kept apart that the threshold may reject.
 REJECTED = 0.05
@@ -27,33 +32,44 @@ REJECTED = 0.05
 
 @dataclass
 class LanguageModel:
+    """``table`` has at most DIM entries for each n-gram bucket, so a model's size is bounded (8 MB) whatever the number of languages."""
+
     names: list[str]
     table: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
 
-    def logits(self, rows: np.ndarray) -> np.ndarray:
-        return rows.mean(axis=0) + self.bias
+    def logits(self, means: np.ndarray) -> np.ndarray:
+        return means @ self.weights + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
         p = np.exp(z - z.max(axis=-1, keepdims=True))
         return p / p.sum(axis=-1, keepdims=True)
 
+    def judge(self, words: WordScores, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, its calibrated probability, whether rejected) of whole texts."""
+        lower = [(t or "").lower() for t in texts]
+        means, counts = words.means([(m[0] for m in letter_words(t)) if len(t) > SLICE else iter(find_letter_words(t)) for t in lower])
+        # numerals such as Roman ones are no letters
+        known = np.array([n > 0 and any(any(map(str.isalpha, m[0])) for m in letter_words(t)) for n, t in zip(counts.tolist(), lower, strict=True)], bool)
+        if not self.names:
+            known[:] = False
+        p = self.probabilities(self.logits(means)) if self.names else np.zeros((len(texts), 1))
+        best = p.argmax(axis=1)
+        score = np.where(known, p[np.arange(len(texts)), best], 0.0)
+        lang = [self.names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return lang, score, ~known | (score < self.threshold)
+
 
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(text, language) rows: some SAMPLE_TEXTS of each of the LANGUAGES most frequent languages, by hash of the id, not held out."""
+    """(text, language) rows that are not held out: of each language at most SAMPLE_TEXTS, chosen by hash of the id; of all at most
+    SAMPLE_ROWS rows and SAMPLE_BYTES bytes. Whole texts of any length."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r[0], min(1.0, SAMPLE_TEXTS / r.n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where((draw < share) & (F.length(text_col) <= SAMPLE_CHARS)).select(text_col, lang_col, id_col)
-    return [(r[0], r[1]) for r in rows.orderBy(id_col, lang_col).limit(2 * SAMPLE_TEXTS * len(counts)).collect()]
+    chosen = chosen_rows(known.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y")), "languages", 13, SAMPLE_TEXTS, SAMPLE_ROWS)
+    return sampled_texts(docs, chosen, id_col, text_col, SAMPLE_ROWS, SAMPLE_BYTES, also=F.col(lang_col))
 
 
 def fit(sample: list[tuple[str, str]], accuracy: float = 0.99, seed: int = 5) -> LanguageModel:
@@ -64,17 +80,18 @@ def fit(sample: list[tuple[str, str]], accuracy: float = 0.99, seed: int = 5) ->
     bags, labels = [], []
     for n, words in enumerate(texts):
         if not apart[n]:
-            for at in range(0, len(words), max(BAG, len(words) // 20)):
+            for at in range(0, len(words), BAG):
                 bags.append(words[at : at + BAG])
                 labels.append(y[n])
     model = SubwordModel(max(1, len(names)), seed)
     if bags:
-        model.fit(Bags(bags), np.array(labels), np.arange(len(labels)), epochs=3, seed=seed)
-    result = LanguageModel(names, model.table().astype(np.float32), model.bias.astype(np.float64), 1.0, 0.5)
+        model.fit(Bags(bags), np.array(labels), np.arange(len(labels)), epochs=max(3, -(-LEAST_STEPS * 128 // len(bags))), batch=128, seed=seed)
+    table, weights = model.narrow()
+    result = LanguageModel(names, table.astype(np.float32), weights, model.bias.astype(np.float64), 1.0, 0.5)
     scores = WordScores(result.table)
     use = [n for n in np.flatnonzero(apart) if texts[n]]
     if use and len(names) > 1:
-        logits = np.stack([result.logits(r) for r in scores.rows([texts[n] for n in use])])
+        logits = result.logits(scores.means([iter(texts[n]) for n in use])[0])
         truth = y[use]
 
         def loss(temperature: float) -> float:
@@ -107,27 +124,14 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScores(model.table)
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                some = batch.slice(at, 128)
-                texts = [find_letter_words((t or "").lower()) for t in some.column(1).to_pylist()]
-                texts = [t if any(any(map(str.isalpha, w)) for w in t) else [] for t in texts]
-                lang, score = [], []
-                for rows in words.rows(texts):
-                    if len(rows) and model.names:
-                        p = model.probabilities(model.logits(rows))
-                        best = int(p.argmax())
-                        lang.append(model.names[best])
-                        score.append(float(p[best]))
-                    else:
-                        lang.append(UNKNOWN)
-                        score.append(0.0)
-                rejected = [name == UNKNOWN or s < model.threshold for name, s in zip(lang, score, strict=True)]
+            for some in portions(batch, 1, SLICE):
+                lang, score, rejected = model.judge(words, some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                     names=[id_col, "lang_pred", "score", "rejected"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,13 +139,9 @@ def keep_identified(df: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordScores(model.table)
+        words, column = WordScores(model.table), schema.names.index(text_col)
         for batch in batches:
-            kept = []
-            texts = [find_letter_words((t or "").lower()) for t in batch.column(schema.names.index(text_col)).to_pylist()]
-            texts = [t if any(any(map(str.isalpha, w)) for w in t) else [] for t in texts]
-            for rows in words.rows(texts):
-                kept.append(bool(len(rows) and model.names and model.probabilities(model.logits(rows)).max() >= model.threshold))
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return df.mapInArrow(run, schema)
+            rejected = [model.judge(words, some.column(column).to_pylist())[2] for some in portions(batch, column, SLICE)]
+            yield batch.filter(pa.array(~np.concatenate([np.zeros(0, bool), *rejected])))
+
+    return df.mapInArrow(tidy(run), schema)

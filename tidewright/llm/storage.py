@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,6 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Spark's setting for the bytes of a batch that goes to a Python worker, and its most here.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 #: The tables that the running stage has made, where one runs, and those of the stage before.
 _RUNNING: list[DataFrame] | None = None
 _BEFORE: list[DataFrame] = []
@@ -90,6 +94,20 @@ def portions(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int
         yield batch.slice(start)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives back the memory it no longer uses: idle workers stay, and count against their executor."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return call
+
+
 def chosen_rows(known: DataFrame, label: str, salt: int, most_each: int, most_rows: int) -> DataFrame:
     """(i, y, n): of the rows (i: id, y: label) ``most_each`` of each label or all there are, least hash of the id first, numbered
     alike; at most ``most_rows`` in all, whatever the number of labels. Rows that surely are not among them leave no task."""
@@ -132,7 +150,9 @@ def _delete(spark: SparkSession, name: str) -> None:
 
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package, once for each Spark context: executors run elsewhere, whatever the driver's own path holds.
-    There is nothing to do where the package itself comes from an archive, or where workers of a local run find it by their path."""
+    Batches that go to them are bounded by bytes, as texts may be long. There is nothing to ship where the package itself comes from an archive, or where workers of a local run find it by their path."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES)) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     known = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
     if root.is_file() or getattr(context, "_tidewright_shipped", False) or (re.match(r"local(\[|$)", context.master) and str(root) in known):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
@@ -17,12 +18,16 @@ from .suffix_dedup import Hasher
 
 BUCKET_BITS, DIM, SIZES = 18, 8, (3, 4, 5, 6)
 #: Most words whose scores a worker keeps, and characters of them; then it starts afresh.
-CACHE_WORDS, CACHE_CHARS = 400_000, 16_000_000
+CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
 #: Characters of words whose n-grams are held at a time, and bytes of one part of a longer word.
 BATCH_CHARS, PART = 1 << 19, 1 << 14
+#: Words of a text that are looked up at a time.
+PORTION = 50_000
 
 find_words = re.compile(r"[^\W_]+").findall
+iter_words = re.compile(r"[^\W_]+").finditer
 find_letter_words = re.compile(r"[^\W\d_]+").findall
+letter_words = re.compile(r"[^\W\d_]+").finditer
 
 
 def ngrams(words: list[str], hasher: Hasher | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +154,12 @@ class SubwordModel:
                 gb += p.sum(axis=0) ** 2
                 self.bias -= rate * 0.2 * p.sum(axis=0) / np.sqrt(gb)
 
+    def narrow(self) -> tuple[np.ndarray, np.ndarray]:
+        """(table, weights): their product is the class scores; a row of the table has at most DIM entries, however many classes."""
+        if self.weights.shape[1] <= DIM:
+            return self.table(), np.eye(self.weights.shape[1], dtype=np.float32)
+        return self.vectors, self.weights
+
     def table(self) -> np.ndarray:
         """Class scores of each bucket: all that applying the model needs, besides the bias."""
         return self.vectors @ self.weights
@@ -159,23 +170,57 @@ class WordScores(dict):
 
     def __init__(self, table: np.ndarray):
         super().__init__()
-        self.table, self.chars = table, 0
-        self.scores = np.zeros((0, table.shape[1]), np.float32)
+        self.table, self.chars, self.used = table, 0, 0
+        self.scores = np.empty((1 << 12, table.shape[1]), np.float32)
 
-    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Scores of the words of each text, in order."""
+    def indices(self, words: list[str]) -> np.ndarray:
+        """Rows of ``scores`` of the words, in order; they hold until the next call."""
         if len(self) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.clear()
-            self.chars = 0
-            self.scores = self.scores[:0]
-        new = list({w for words in texts for w in words if w not in self})
-        for some in batches(new, 50_000):
+            self.chars = self.used = 0
+        for some in batches(list(set(words).difference(self)), 50_000):
             found = means(some, self.table)
-            for n, w in enumerate(some, len(self)):
-                self[w] = n
-                self.chars += len(w)
-            self.scores = np.concatenate([self.scores, found.astype(np.float32)])
-        return [self.scores[np.fromiter(map(self.__getitem__, words), np.int64, len(words))] for words in texts]
+            if self.used + len(some) > len(self.scores):
+                wider = np.empty((max(2 * len(self.scores), self.used + len(some)), self.scores.shape[1]), np.float32)
+                wider[: self.used] = self.scores[: self.used]
+                self.scores = wider
+            self.scores[self.used : self.used + len(some)] = found
+            self.update(zip(some, range(self.used, self.used + len(some)), strict=True))
+            self.used += len(some)
+            self.chars += sum(map(len, some))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Scores of the words of each text, in order."""
+        at = self.indices([w for words in texts for w in words])
+        found = self.scores[at]  # indices() may have moved the scores
+        return np.split(found, np.cumsum([len(words) for words in texts])[:-1]) if texts else []
+
+    def means(self, texts: list[Iterator[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(mean row of the words of each text, number of its words); a text is read PORTION words at a time."""
+        sums, counts = np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts), np.int64)
+        held: list[str] = []
+        owner: list[int] = []
+
+        def add() -> None:
+            at = self.indices(held)
+            found = self.scores[at]
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            at = np.array(owner)[first]
+            sums[at] += np.add.reduceat(found, first, axis=0, dtype=np.float64)
+            counts[at] += np.diff(np.append(first, len(owner)))
+            held.clear()
+            owner.clear()
+
+        for n, words in enumerate(texts):
+            while some := list(islice(words, PORTION)):
+                held += some
+                owner += [n] * len(some)
+                if len(held) >= PORTION:
+                    add()
+        if held:
+            add()
+        return sums / np.maximum(counts, 1)[:, None], counts
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
