@@ -129,3 +129,45 @@ def test_chains_and_fingerprints(spark):
 def test_scopes_do_not_collide(spark):
     keys = spark.range(1).select(dedupe.scoped(F.lit("a/b"), F.lit("c")), dedupe.scoped(F.lit("a"), F.lit("b/c"))).first()
     assert keys[0] != keys[1]
+
+
+def test_sized_frames_and_compression(spark):
+    import bz2
+    import gzip
+
+    from tidewright.functions.codec import decode_sized, decompress
+
+    pack = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
+    frames = [(1, pack(b"one", b"", b"three")), (2, pack(b"a") + b"\0\0\0\x09cut"), (3, b""), (4, pack(b"x") + b"\0")]
+    got = decode_sized(spark.createDataFrame(frames, "id long, frame binary"), "frame", ["id"]).collect()
+    told = [(r.id, None if r.body is None else bytes(r.body), r.fault) for r in got]
+    bad = "permanent_mapping"
+    assert told == [(1, b"one", None), (1, b"", None), (1, b"three", None), (2, b"a", None), (2, None, bad), (4, b"x", None), (4, None, bad)]
+    packed = spark.createDataFrame([(1, gzip.compress(b"hello")), (2, b"no"), (3, None), (4, bz2.compress(b"x"))], "id long, body binary")
+    assert [(r.body and bytes(r.body), r.fault) for r in decompress(packed, "body", "gzip").orderBy("id").collect()] == [(b"hello", None), (None, bad), (None, None), (None, bad)]
+
+
+def test_status_over_http():
+    import json
+    import urllib.error
+    import urllib.request
+
+    from tidewright.streaming.status import serve
+
+    rows = [{"stream": s, "batch": 1, "records": n, "per_second": None, "active": True, "fault": None, "offsets": []} for n, s in enumerate(("a", "b", 'c"'))]
+    server = serve(lambda: rows)
+    ask = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}{path}").read().decode()
+    try:
+        first = json.loads(ask("/status?limit=2"))
+        assert [r["stream"] for r in first["rows"]] == ["a", "b"] and first["truncated"] and first["cursor"] == "b"
+        assert [r["stream"] for r in json.loads(ask("/status?cursor=b"))["rows"]] == ['c"'] and json.loads(ask("/status?stream=b"))["rows"] == rows[1:2]
+        text = ask("/metrics")
+        assert 'tidewright_records{stream="b"} 1' in text and "per_second" not in text
+        for path, code in (("/status?limit=x", 400), ("/status?what=1", 400), ("/else", 404)):
+            try:
+                ask(path)
+                raise AssertionError(path)
+            except urllib.error.HTTPError as e:
+                assert e.code == code
+    finally:
+        server.shutdown()

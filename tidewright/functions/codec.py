@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -99,3 +100,40 @@ def frame_lines(df: DataFrame, by: list[str], order: str, line: Column) -> DataF
 def decode_lines(df: DataFrame, frame: str, keep: list[str]) -> DataFrame:
     """One row for each line of a frame; the end of the last line opens no further one."""
     return df.select(*keep, F.explode(F.split(F.regexp_replace(frame, "\n$", ""), "\n")).alias("line"))
+
+
+def decode_sized(df: DataFrame, frame: str, keep: list[str], width: int = 4) -> DataFrame:
+    """One row for each record of a frame (binary) of records that follow their big-endian length of ``width`` bytes; a cut last record is a fault."""
+    length = lambda at: F.conv(F.hex(F.substr(F.col(frame), at, F.lit(width))), 16, 10).cast("int")
+    step = lambda s, _: F.when(s["at"] > F.octet_length(frame), s).otherwise(F.struct((s["at"] + width + F.coalesce(length(s["at"]), F.lit(0))).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+    most = F.greatest(F.floor(F.octet_length(frame) / width).cast("int"), F.lit(0))
+    starts = F.aggregate(F.sequence(F.lit(0), most), start, step)["starts"]
+    out = df.select("*", F.explode(starts).alias("_at")).withColumn("_n", length(F.col("_at")))
+    body = F.substr(F.col(frame), F.col("_at") + width, F.col("_n"))
+    cut = F.col("_n").isNull() | (F.col("_at") + width + F.col("_n") - 1 > F.octet_length(frame))
+    return out.select(*keep, F.when(~cut, body).alias("body"), F.when(cut, F.lit("permanent_mapping")).alias("fault"))
+
+
+def decompress(df: DataFrame, column: str, how: str) -> DataFrame:
+    """A binary column without its gzip, zlib or bzip2 compression; null, with a fault, where it is not that."""
+    import bz2
+    import gzip
+    import zlib
+
+    unpack = {"gzip": gzip.decompress, "zlib": zlib.decompress, "bzip2": bz2.decompress}[how]
+
+    @F.pandas_udf("binary")
+    def plain(packed: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                return None if x is None else unpack(bytes(x))
+            except (OSError, EOFError, ValueError, zlib.error):
+                return None
+
+        return packed.map(one)
+
+    out = df.withColumn("_plain", plain(column))
+    broken = F.when(F.col(column).isNotNull() & F.col("_plain").isNull(), F.lit("permanent_mapping"))
+    out = out.withColumn("fault", F.coalesce(F.col("fault"), broken) if "fault" in df.columns else broken)
+    return out.withColumn(column, F.col("_plain")).drop("_plain")

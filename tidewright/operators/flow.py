@@ -116,3 +116,9 @@ def merge(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """One record for each group: references add up, destination, time and metadata are the first parent's, the payload is empty."""
     first = lambda c: F.min_by(c, order).alias(c)
     return df.groupBy(*by).agg(F.sum("refs").alias("refs"), first("dest"), first("tm"), F.array_sort(F.collect_list(order)).alias("parents"), F.lit(None).cast("string").alias("body"))
+
+
+def admission_rounds(df: DataFrame, by: list[str], order: str, weight: Column, budget: int) -> DataFrame:
+    """by, order, round: a lane's records wait while what is on its way and they together weigh more than the budget; each round settles before
+    the next. A record that alone weighs more is admitted when nothing is on its way."""
+    return split_bytes(df, by, order, weight, budget).withColumnRenamed("chunk", "round")

@@ -97,7 +97,7 @@ def standard() -> Registry:
     r.add_transform("redact", lambda df, c: shape.redact(df, "body", c["keys"], c.get("mask", "***")), (Field("keys", "array", required=True, item=Field("key")), Field("mask")))
     r.add_sink("collect", lambda df, c: df, SinkCaps(), ())
     r.add_sink("discard", lambda df, c: df, SinkCaps(idempotent=True), (), lambda df, c: df.write.format("noop").mode("overwrite").save())
-    r.add_sink("ndjson", lambda df, c: frame_lines(df, ["lane"], "seq", F.col("body")), SinkCaps(), ())
+    r.add_sink("ndjson", lambda df, c: frame_lines(flow.batch_count(df, ["lane"], "seq", c.get("batch", 1000)), ["lane", "batch"], "seq", F.col("body")), SinkCaps(), (Field("batch", "int", least=1, default=1000),))
     r.add_sink("stdout", _encoded, SinkCaps(), (codec,), writers.print_lines)
     r.add_sink("file", _encoded, SinkCaps(flushes=True), (path, codec), writers.append_lines)
     r.add_sink("parquet", lambda df, c: df, SinkCaps(flushes=True), (path,), lambda df, c: writers.storable(df).write.mode("append").parquet(c["path"]))

@@ -22,6 +22,11 @@ def split_bytes(spark, sf_dir):
     return flow.split_bytes(events(spark, sf_dir), ["lane"], "seq", F.length("body") * (1 + F.col("seq") % 13), 400)
 
 
+@query(FOLD.format(events=EVENTS, weight="1 + seq % 7", init="w AS used, 0::BIGINT AS round", step="CASE WHEN f.used + r.w <= 40 THEN f.used + r.w ELSE r.w END, CASE WHEN f.used + r.w <= 40 THEN f.round ELSE f.round + 1 END", out="round"))
+def lane_budget(spark, sf_dir):
+    return flow.admission_rounds(events(spark, sf_dir), ["lane"], "seq", 1 + F.col("seq") % 7, 40)
+
+
 @query(FOLD.format(events=EVENTS, weight="length(body)", init="w AS used, 0::BIGINT AS batch", step="CASE WHEN f.used < 200 THEN f.used + r.w ELSE r.w END, CASE WHEN f.used < 200 THEN f.batch ELSE f.batch + 1 END", out="batch"))
 def batch_bytes(spark, sf_dir):
     return flow.batch_bytes(events(spark, sf_dir), ["lane"], "seq", F.length("body"), 200)

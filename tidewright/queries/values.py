@@ -190,11 +190,12 @@ def decimal_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text(F.col("event_id"), 2).alias("amount"))
 
 
-@query(f"SELECT lane, string_agg(body || chr(10), '' ORDER BY seq) AS frame, count(*) AS records FROM {EVENTS} GROUP BY lane")
+@query(f"SELECT lane, batch, string_agg(body || chr(10), '' ORDER BY seq) AS frame, count(*) AS records FROM (SELECT *, (row_number() OVER (PARTITION BY lane ORDER BY seq) - 1) // 500 AS batch FROM {EVENTS}) GROUP BY lane, batch")
 def frame_ndjson(spark, sf_dir):
     from ..functions.codec import frame_lines
+    from ..operators.flow import batch_count
 
-    return frame_lines(events(spark, sf_dir), ["lane"], "seq", F.col("body"))
+    return frame_lines(batch_count(events(spark, sf_dir), ["lane"], "seq", 500), ["lane", "batch"], "seq", F.col("body"))
 
 
 @query(f"SELECT lane, seq // 1000 AS batch, string_agg(body || chr(10), '' ORDER BY seq) AS frame, count(*) AS records FROM {EVENTS} GROUP BY ALL")
@@ -211,9 +212,9 @@ def request_unframed(spark, sf_dir):
     return requests(events(spark, sf_dir), ["lane"], "seq", F.col("body"), framed=False)
 
 
-@query("SELECT lane, unnest(string_split(frame, chr(10))) AS line FROM (SELECT user_id % 8 AS lane, string_agg(props, chr(10) ORDER BY event_id) AS frame FROM events GROUP BY 1)")
+@query("SELECT lane, unnest(string_split(frame, chr(10))) AS line FROM (SELECT user_id % 8 AS lane, string_agg(props, chr(10) ORDER BY event_id) AS frame FROM events GROUP BY 1, event_id // 1000)")
 def decode_explode(spark, sf_dir):
     from ..functions.codec import decode_lines, frame_lines
 
-    framed = frame_lines(events(spark, sf_dir), ["lane"], "seq", F.col("body"))
+    framed = frame_lines(events(spark, sf_dir).withColumn("batch", F.floor(F.col("seq") / 1000)), ["lane", "batch"], "seq", F.col("body"))
     return decode_lines(framed, "frame", ["lane"])
