@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 #: Spark's setting for the bytes of a batch that goes to a Python worker, and its most here.
 ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
+#: Most labels whose counts are sent to every task.
+SENT_LABELS = 100_000
+
 #: The tables that the running stage has made, where one runs, and those of the stage before.
 _RUNNING: list[DataFrame] | None = None
 _BEFORE: list[DataFrame] = []
@@ -111,8 +114,10 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def chosen_rows(known: DataFrame, label: str, salt: int, most_each: int, most_rows: int) -> DataFrame:
     """(i, y, n): of the rows (i: id, y: label) ``most_each`` of each label or all there are, least hash of the id first, numbered
     alike; at most ``most_rows`` in all, whatever the number of labels. Rows that surely are not among them leave no task."""
-    counts = known.groupBy("y").agg(F.count(F.lit(1)).alias("k"))
-    each = max(1, min(most_each, most_rows // max(1, counts.count())))
+    counts = materialize(known.groupBy("y").agg(F.count(F.lit(1)).alias("k")), f"{label}-counts")
+    kinds = counts.count()
+    each = max(1, min(most_each, most_rows // max(1, kinds)))
+    counts = F.broadcast(counts) if kinds <= SENT_LABELS else counts  # so that rows are thinned out before any of them moves
     draw = F.xxhash64("i", F.lit(salt))
     share = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
     likely = known.join(counts, "y").where(share * F.col("k") < each + 8 * each**0.5).select("i", "y").distinct()
