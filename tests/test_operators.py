@@ -3,6 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from tidewright.functions import text
@@ -171,3 +172,17 @@ def test_status_over_http():
                 assert e.code == code
     finally:
         server.shutdown()
+
+
+def test_times_are_utc_in_any_zone(spark):
+    from tidewright.operators.modes import day_partition
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            at = F.lit(1_710_054_000_120_000).cast("bigint")  # within the hour that New York's clocks skip
+            d = spark.range(1).select(text.json_time(at), text.json_time(F.lit(-1).cast("bigint")), day_partition(F.lit("d"), at, at), text.json_value(F.timestamp_micros(at), T.TimestampType()), text.json_value(F.lit("2024-03-10 02:30:00").cast("timestamp_ntz"), T.TimestampNTZType()))
+            assert d.first()[:] == ('"2024-03-10T07:00:00.12Z"', '"1969-12-31T23:59:59.999999Z"', "d/2024-03-10", '"2024-03-10T07:00:00.12Z"', '"2024-03-10T02:30:00Z"')
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -64,10 +64,21 @@ def json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
+def utc(micros: Column) -> Column:
+    """The UTC time without zone of microseconds since 1970, whatever the session's zone."""
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def micros_of(at: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    day = F.unix_date(at.cast("date")).cast("bigint") * 86_400_000_000
+    return day + F.hour(at).cast("bigint") * 3_600_000_000 + F.minute(at).cast("bigint") * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
+
+
 def json_time(micros: Column) -> Column:
     """UTC with fraction digits as needed, from microseconds."""
-    at = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(at, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), F.lit('Z"'))
+    return F.concat(F.lit('"'), F.replace(utc(micros).cast("string"), F.lit(" "), F.lit("T")), F.lit('Z"'))
 
 
 def shortest(x: Column) -> Column:
@@ -128,8 +139,10 @@ def json_value(value: Column, kind: T.DataType) -> Column:
         return F.when(value.isNull(), F.lit(None).cast("string")).when(finite, json_float(value.cast("double"))).otherwise(refused)
     if isinstance(kind, T.BinaryType):
         return F.concat(F.lit('"'), F.replace(F.base64(value), F.lit("\r\n"), F.lit("")), F.lit('"'))
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return json_time(F.unix_micros(value.cast("timestamp")))
+    if isinstance(kind, T.TimestampType):
+        return json_time(F.unix_micros(value))
+    if isinstance(kind, T.TimestampNTZType):
+        return json_time(micros_of(value))
     if isinstance(kind, (T.DecimalType, T.DateType)):
         return json_string(value.cast("string"))
     if isinstance(kind, T.VariantType):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import utc
+
 
 def last_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The last row of each key; combined before the shuffle, so a hot key costs one row a task."""
@@ -60,7 +62,7 @@ def seal(size: Column, age: Column, final: Column, least: int, oldest: int) -> C
 
 def day_partition(dest: Column, event_micros: Column, read_micros: Column) -> Column:
     """dest/YYYY-MM-DD of the UTC event time, else of the read time."""
-    day = F.date_format(F.timestamp_micros(F.coalesce(event_micros, read_micros)), "yyyy-MM-dd")
+    day = utc(F.coalesce(event_micros, read_micros)).cast("date").cast("string")
     return F.concat_ws("/", dest, day)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import micros_of
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,9 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts._jc.toString() if not isinstance(ts, str) else ts})")
+def micros(ts: str) -> Column:
+    return micros_of(F.col(ts))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
