@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import drop_materialized, materialize, portions
+from .storage import drop_materialized, materialize, portions, tidy
 from .suffix_dedup import Hasher, mixed, row_key
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 26, 4, 512
@@ -120,7 +120,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
                     names=["id", "row", "n", "set", "bands", "odd"],
                 )
 
-    found = materialize(docs.mapInArrow(sketches, f"id {kind}, row binary, n long, set binary, bands array<long>, odd array<long>"), "sketches")
+    found = materialize(docs.mapInArrow(tidy(sketches), f"id {kind}, row binary, n long, set binary, bands array<long>, odd array<long>"), "sketches")
     nodes = found.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.min("row").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -150,7 +150,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     reps = nodes.join(met.select("node").distinct(), "node").select("node", F.col("rep").alias("key"))
     texts = docs.join(reps, "key").select("node", "text")
-    sets = materialize(texts.mapInArrow(sets_of, "node long, shingles binary, short binary"), "sets")
+    sets = materialize(texts.mapInArrow(tidy(sets_of), "node long, shingles binary, short binary"), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +166,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         both = pairs
         for side in ("a", "b"):
             both = both.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
-        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long").distinct(), "links")
+        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(tidy(confirm), "a long, b long").distinct(), "links")
 
     links = confirmed(tried)
     roots = connected_components(links)
@@ -211,7 +211,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         if group:
             yield flush()
 
-    pairs = rest.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long").distinct()
+    pairs = rest.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(tidy(compare), "a long, b long").distinct()
     more = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(confirmed(more))
     roots = connected_components(links).withColumnRenamed("node", "linked")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .mixture_packing import batch_type
-from .storage import portions
+from .storage import portions, tidy
 from .suffix_dedup import mixed
 
 SPACE = "▁"
@@ -294,7 +294,7 @@ def sample_pieces(df: DataFrame, model_path: str, seed: int = 0, sharpness: floa
                 ids = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids binary")
 
 
 def decode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -308,4 +308,4 @@ def decode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_co
                 texts = [None if x is None else table.decode(np.frombuffer(x, "<u4")) for x in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(id_type), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .storage import portions
+from .storage import portions, tidy
 
 #: Bytes of texts that are counted at a time, if not a single text has more.
 SLICE = 1 << 20
@@ -49,7 +49,7 @@ def token_counts(
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", cut_chars long" * cut
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def prefix_tables(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,4 +67,4 @@ def prefix_tables(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
                 tables = [counts.table(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_pydict({id_col: part.column(0), "prefix_tokens": pa.array(tables, pa.list_(pa.int32()))})
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, prefix_tokens array<int>")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, prefix_tokens array<int>")

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import bpe
+from .storage import tidy
 
 #: Tokens that one packing block holds: the bound on a task's memory, whatever its partition's size.
 BLOCK_TOKENS = 4_000_000
@@ -143,4 +144,4 @@ def pack_token_ids(
         yield from flush()
 
     schema = f"sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, first_positions array<long>, segment_ids array<{kind}>" + ", position_ids binary" * positions
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidy(run), schema)
