@@ -154,3 +154,13 @@ def test_torn_last_line_waits_for_its_end(spark, tmp_path):
     path.write_bytes(b"one\ntwo-partial\nthree")
     rows, at = stream.read(at)
     assert [bytes(r[1]) for r in rows] == [b"two-partial"] and [bytes(r[1]) for r in stream.readBetweenOffsets({"offset": 0}, at)] == [b"one", b"two-partial"]
+
+
+def test_store_ceilings():
+    from tidewright.plans.negotiate import StoreCaps, negotiate
+
+    ask = lambda **caps: negotiate("exactly_once", {"a": SourceCaps()}, {"x": SinkCaps(commits=True)}, store=StoreCaps(**caps)).tier
+    assert ask() == "exactly_once" and ask(outlives="process") == "at_least_once" and ask(atomic_keys=False) == "at_least_once"
+    for caps in ({"durable_writes": False}, {"compare_and_set": False}, {"fences_epochs": False}):
+        with pytest.raises(ValueError, match="durable when it returns|two workers"):
+            ask(**caps)

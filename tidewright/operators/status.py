@@ -142,3 +142,9 @@ def conditions(facts: DataFrame, key: str, now: Column, flush: int) -> DataFrame
     found = condition_columns(now, max(3 * flush, 1_000_000))
     arms = F.array(*[F.struct(F.lit(n).alias("condition"), found[n].alias("status")) for n in CONDITIONS])
     return facts.select(key, F.explode(arms).alias("x")).select(key, "x.*")
+
+
+def compare_orders(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 of two positions' order bytes, bytewise; null (unknown) where either has none."""
+    known = a.isNotNull() & b.isNotNull()
+    return F.when(known, F.when(a < b, -1).when(a > b, 1).otherwise(0))

@@ -33,6 +33,19 @@ class SinkCaps:
     needs_keys: bool = False
 
 
+#: What a store's content outlives, least first.
+DOMAINS = ("nothing", "process", "node", "cluster")
+
+
+@dataclass
+class StoreCaps:
+    durable_writes: bool = True
+    compare_and_set: bool = True
+    fences_epochs: bool = True
+    atomic_keys: bool = True
+    outlives: str = "node"
+
+
 @dataclass
 class Contract:
     tier: str
@@ -105,6 +118,21 @@ def sink_ceiling(c: SinkCaps) -> str:
     return TIERS[3] if c.commits or c.stores_token else TIERS[2] if c.idempotent else TIERS[1]
 
 
+def store_ceiling(c: StoreCaps) -> tuple[str | None, str]:
+    """(the strongest tier the store carries, why no more); None where it carries none at all.
+
+    Above at_least_once what collapses duplicates is kept in the store, so it must outlive the process and be written in one piece with the cursor;
+    below, losing it only means reading again.
+    """
+    if not c.durable_writes:
+        return None, "a write to the store may not be durable when it returns"
+    if not (c.compare_and_set and c.fences_epochs):
+        return None, "without compare-and-set and epoch fencing two workers could write one lane's progress"
+    if DOMAINS.index(c.outlives) < DOMAINS.index("node"):
+        return TIERS[1], "the store does not outlive a restart"
+    return (TIERS[3], "") if c.atomic_keys else (TIERS[1], "the store cannot write several keys in one piece")
+
+
 def ack_point(c: SinkCaps) -> str:
     return "token" if c.stores_token else "commit" if c.commits else "flush" if c.flushes else "write"
 
@@ -113,17 +141,20 @@ def weakest(*tiers: str) -> str:
     return min(tiers, key=TIERS.index)
 
 
-def negotiate(asked: str, sources: dict[str, SourceCaps], sinks: dict[str, SinkCaps], best_effort: set[str] = frozenset(), durable_store: bool = True) -> Contract:
-    """The pipeline's contract is that of its weakest branch that is not best effort; ties go to the first node id."""
+def negotiate(asked: str, sources: dict[str, SourceCaps], sinks: dict[str, SinkCaps], best_effort: set[str] = frozenset(), store: StoreCaps | None = None) -> Contract:
+    """The pipeline's contract is that of its weakest branch that is not best effort; ties go to the first node id. A store that carries no tier is refused."""
     why = []
     ceiling = asked
     for name, caps in sorted(sources.items()):
         if TIERS.index(source_ceiling(caps)) < TIERS.index(ceiling):
             ceiling = source_ceiling(caps)
             why.append(f"source {name} holds no more than {ceiling}")
-    if not durable_store and TIERS.index(ceiling) > 0:
-        ceiling = TIERS[0]
-        why.append("the store does not outlive a crash")
+    carried, reason = store_ceiling(store or StoreCaps())
+    if carried is None:
+        raise ValueError(reason)
+    if TIERS.index(carried) < TIERS.index(ceiling):
+        ceiling = carried
+        why.append(reason)
     bound = [(TIERS.index(weakest(ceiling, sink_ceiling(caps))), name) for name, caps in sorted(sinks.items()) if name not in best_effort]
     if not bound:
         return Contract(ceiling, "write", None, why)

@@ -141,3 +141,19 @@ def stream_config(spark, sf_dir):
     rules = rules.unionByName(n.where("n_nationkey % 2 = 0").select("n_name", F.lit("plain").alias("mode"), F.lit(1).alias("rank")))
     best = rules.groupBy("n_name").agg(F.max_by("mode", "rank").alias("mode"))
     return n.join(best, "n_name", "left").select(F.col("n_name").alias("stream"), F.coalesce("mode", F.lit("default")).alias("mode"))
+
+
+@query("SELECT a.n_nationkey AS id, CASE WHEN a.n_nationkey % 4 = 0 OR b.n_nationkey % 4 = 0 THEN NULL WHEN a.n_name < b.n_name THEN -1 WHEN a.n_name > b.n_name THEN 1 ELSE 0 END AS order_ FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 7) % 25")
+def position_compare(spark, sf_dir):
+    order = F.when(F.col("n_nationkey") % 4 != 0, F.encode("n_name", "UTF-8"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", order.alias("o"))
+    other = n.select(F.col("n_nationkey").alias("k"), F.col("o").alias("p"))
+    return n.join(other, F.col("k") == F.col("n_nationkey") * 7 % 25).select(F.col("n_nationkey").alias("id"), S.compare_orders(F.col("o"), F.col("p")).alias("order_"))
+
+
+@query("SELECT n_nationkey AS id, 't' || n_regionkey || '/dedupe/p%2Fq/node/' || replace(n_name, '%', '%25') || '/sink/' || n_nationkey AS key FROM nation")
+def key_spaces(spark, sf_dir):
+    from ..operators import keys
+
+    key = keys.dedupe_key(F.concat(F.lit("t"), "n_regionkey"), F.lit("p/q"), F.lit("node"), F.col("n_name"), F.lit("sink"), F.col("n_nationkey"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), keys.rendered(key).alias("key"))

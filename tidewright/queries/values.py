@@ -13,7 +13,7 @@ from .base import EVENTS, events, query, table
 
 # a payload with a missing, a null, a text and a number member, by event_id
 DOC = """CASE event_id % 6 WHEN 0 THEN '{"k": null, "s": ""}' WHEN 1 THEN '{"s": "0", "z": 0}' WHEN 2 THEN '{"k": "7", "s": "x7"}'
- WHEN 3 THEN '{"k": 7, "other": 7, "t": "2s"}' WHEN 4 THEN '{"k": true, "t": "64MiB"}' ELSE props END"""
+ WHEN 3 THEN '{"k": 7, "other": 7, "t": "2s"}' WHEN 4 THEN '{"k": true, "t": "64MiB", "other": 1}' ELSE props END"""
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,10 @@ def mapping_project(spark, sf_dir):
     return project(docs(spark, sf_dir), mapping, keep=["seq"])
 
 
-META = "array(named_struct('ns','source','key','offset','value',cast(event_id as string)), named_struct('ns','user','key','trace_id','value','t'), named_struct('ns','user','key','debug','value','d'))"
+META = "array(named_struct('ns','source','key','offset','value',cast(event_id as string)), named_struct('ns',case when event_id % 3 = 0 then 'other' else 'user' end,'key','trace_id','value','t'), named_struct('ns','user','key','debug','value','d'))"
 
 
-@query("SELECT event_id, 2 AS kept, 'offset,trace_id' AS names FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS kept, CASE WHEN event_id % 3 = 0 THEN 'offset' ELSE 'offset,trace_id' END AS names FROM events")
 def meta_filter(spark, sf_dir):
     from ..operators.shape import filter_meta
 
