@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,43 +13,56 @@ from tidewright.llm.exact_dedup import drop_exact_copies
 from tidewright.llm.mixture_packing import mixture_pack
 from tidewright.llm.near_dedup import drop_near_copies
 from tidewright.llm.queries import vocabulary_path
-from tidewright.llm.storage import begin_stage, end_stages, materialize, ship_package
+from tidewright.llm.storage import drop_stage_tables, materialize, ship_package, stage_tables
 from tidewright.llm.suffix_dedup import strip_repeats
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def staged(stage: Stage) -> Stage:
+    """What a stage works with goes when the next one begins."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        with stage_tables():
+            return stage(spark, docs, sf_dir)
+
+    return call
+
+
+@staged
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with the confidence that the model's own calibration asks for."""
-    begin_stage()
-    ship_package(spark)
     return language_id.keep_identified(docs, language_id.fit(language_id.labelled_sample(docs)))
 
 
+@staged
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    begin_stage()
     return drop_exact_copies(docs)
 
 
+@staged
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts that share 80 percent of their five-word shingles."""
-    begin_stage()
     return drop_near_copies(docs, words=5, percent=80)
 
 
+@staged
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that begin anywhere else too."""
-    begin_stage()
     return strip_repeats(docs, size=200)
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences of 2048 tokens."""
-    begin_stage()
     pieces = mixture_pack(docs, vocabulary_path(), sequence=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
     ("exact_dedup", drop_copies),
     ("near_dedup", drop_near),
@@ -61,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
-    end_stages()
+    drop_stage_tables()
     return docs
 
 
