@@ -6,7 +6,7 @@ ones) is its anchor, and the gram's hash is its class. Equal strings have equal
 strings share anchors, so there is about one anchor for 80 bytes, and only anchors are shuffled:
 
 1. anchors of a class that occurs once hold no repeat;
-2. anchors whose whole stretch of strings is byte for byte that of another hold nothing but repeats;
+2. anchors whose whole stretch of strings is that of another, by a 64-bit hash within the class, hold nothing but repeats;
 3. of the other classes one anchor for each different stretch goes on with its bytes. Classes are dealt to tasks, and a task
    builds suffix arrays of blocks of classes by the difference-cover algorithm (see suffixes) and compares the first
    ``size`` bytes of neighbours;
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_materialized, materialize
+from .storage import drop_materialized, materialize, tidy
 from .suffixes import repeated_windows
 
 GRAM = 32
 #: Bytes that are hashed at a time (longer texts in overlapping parts), and bytes of one suffix array.
-PART, BLOCK = 1 << 20, 1 << 20
+PART, BLOCK = 1 << 20, 1 << 19
 MAX_CLASS, CELL = 2048, 16
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -137,10 +137,13 @@ def remove_repeats(
                     )
                     rows, found = [], []
 
-    places = materialize(docs.mapInArrow(find, "key binary, h long, stretch long, first long, n int"), "places")
+    places = materialize(docs.mapInArrow(tidy(find), "key binary, h long, stretch long, first long, n int"), "places")
     classes = places.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("times > 1")
-    shared = materialize(places.join(classes.select("h", (F.col("lo") == F.col("hi")).alias("alike")), "h"), "shared")
+    # as a table of its own: a class that holds many of the anchors can then be split between tasks where it is joined
+    classes = materialize(classes.select("h", (F.col("lo") == F.col("hi")).alias("alike")), "classes")
+    shared = materialize(places.join(classes, "h"), "shared")
     drop_materialized(places)
+    drop_materialized(classes)
     # one place for each stretch of a class, with how many there are; `times` > 1: each of them repeats as a whole
     stretches = shared.where("not alike").groupBy("h", "stretch").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "first", "n")).alias("p"))
     stretches = materialize(stretches.select("h", "stretch", "times", "p.*"), "stretches")
@@ -167,7 +170,7 @@ def remove_repeats(
 
     held = docs.join(wanted, "key").select("key", "text", "places")
     # rows that repeat id and text hold the same bytes: one is enough, and stands for a stretch that has another place
-    bytes_of = held.mapInArrow(read, "key binary, h long, first long, times long, wide boolean, data binary")
+    bytes_of = held.mapInArrow(tidy(read), "key binary, h long, first long, times long, wide boolean, data binary")
     bytes_of = materialize(bytes_of, "bytes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +200,7 @@ def remove_repeats(
             yield flush()
 
     narrow = bytes_of.where("not wide").dropDuplicates(["key", "h", "first"]).select("key", "h", "first", "data")
-    partly = narrow.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "key binary, first long, stop long")
+    partly = narrow.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(compare), "key binary, first long, stop long")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The strings of a place by cells of CELL strings, counted from the anchor, so that equal strings lie in equal cells."""
@@ -239,7 +242,7 @@ def remove_repeats(
                 )
 
     hot = bytes_of.where("wide").dropDuplicates(["key", "h", "first"]).select("key", "h", "first", "data")
-    hot = hot.mapInArrow(cells, "h long, cell int, a long, b long, key binary, first long, n int, data binary")
+    hot = hot.mapInArrow(tidy(cells), "h long, cell int, a long, b long, key binary, first long, n int, data binary")
     hot = materialize(hot, "cells")
     cell = ["h", "cell", "a", "b"]
     kinds = hot.groupBy(*cell).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "first", "data")).alias("p"))
@@ -247,7 +250,7 @@ def remove_repeats(
     whole_cells = hot.join(kinds.where("times > 1").select(*cell), cell, "left_semi")
     several = kinds.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "cell")
     single = kinds.join(several, ["h", "cell"], "left_semi").select("key", "first", "data", "times")
-    single = single.mapInArrow(strings, "key binary, times long, first long, a long, b long")
+    single = single.mapInArrow(tidy(strings), "key binary, times long, first long, a long, b long")
     often = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b")
     hot_spans = single.where("times = 1").join(often, ["a", "b"], "left_semi").select("key", "first", (F.col("first") + size).alias("stop"))
     hot_spans = hot_spans.unionByName(whole_cells.select("key", "first", (F.col("first") + F.col("n") - 1 + size).alias("stop")))
@@ -269,7 +272,7 @@ def remove_repeats(
                 ], names=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept", "row"][: 6 + carry])
 
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary"
-    return out.mapInArrow(cut, schema + (f", row {out.schema['row'].dataType.simpleString()}" if carry else ""))
+    return out.mapInArrow(tidy(cut), schema + (f", row {out.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
 def strip_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
