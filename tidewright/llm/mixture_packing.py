@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .storage import materialize
+from .storage import materialize, tidy
 
 #: From so many sources on, totals and places are kept in tables instead of the driver; the pieces are the same.
 MAX_QUEUES = 4096
+#: Most (queue, task) pairs whose places are sent to every task (some 40 bytes each).
+SENT_ROWS = 200_000
 
 
 class Schedule:
@@ -172,11 +174,14 @@ def mixture_pack(
                 })
 
     schema = f"id {kind}, queue string, part int, start long, n long, wide boolean, ids binary"
-    stored = materialize(docs.mapInArrow(tokenize, schema), "ids")
+    stored = materialize(docs.mapInArrow(tidy(tokenize), schema), "ids")
     totals = stored.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = stored.join(bases, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
+    # as a rule a few rows for each task: counted, then sent to every task, so that the ids need not move; else joined
+    bases = materialize(bases, "bases")
+    small = bases.count() <= SENT_ROWS
+    placed = stored.join(F.broadcast(bases) if small else bases, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
 
     fields = pa.schema([
         (id_col, batch_type(df, id_col)), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
@@ -206,7 +211,7 @@ def mixture_pack(
                             start, place, length = start + take, place + take, length - take
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, fields, strict=True)], schema=fields)
 
-    return placed.select("id", "queue", "start", "n", "wide", "ids", "base").mapInArrow(cut, out)
+    return placed.select("id", "queue", "start", "n", "wide", "ids", "base").mapInArrow(tidy(cut), out)
 
 
 def _cut_by_table(placed: DataFrame, totals: DataFrame, weights: dict[str, int] | None, sequence: int, window: int, kind: str, fields: pa.Schema, out: str) -> DataFrame:
@@ -219,7 +224,7 @@ def _cut_by_table(placed: DataFrame, totals: DataFrame, weights: dict[str, int]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ks, pa.int64())], names=["q", "total", "weight"])
 
     sums = totals.groupBy("queue").agg(F.sum("n").alias("total"))
-    sources = materialize(sums.mapInArrow(weigh, "q string, total long, weight long"), "sources")
+    sources = materialize(sums.mapInArrow(tidy(weigh), "q string, total long, weight long"), "sources")
     # at most some square root of all tokens for each weight, as that many different totals need that many tokens
     clock = Clock([(r.weight, r.total, r.k) for r in sources.groupBy("weight", "total").agg(F.count(F.lit(1)).alias("k")).collect()], window)
 
@@ -229,7 +234,7 @@ def _cut_by_table(placed: DataFrame, totals: DataFrame, weights: dict[str, int]
                 ws, starts, lengths = zip(*clock.slices(total, weight, 0, total), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([q] * len(ws), pa.string()), pa.array(ws, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["q", "w", "first", "taken"])
 
-    slices = materialize(sources.mapInArrow(slice_up, "q string, w long, first long, taken long"), "slices")
+    slices = materialize(sources.mapInArrow(tidy(slice_up), "q string, w long, first long, taken long"), "slices")
     earlier = lambda w: F.coalesce(F.sum("taken").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     windows = slices.groupBy("w").agg(F.sum("taken").alias("taken")).select(F.col("w").alias("_w"), earlier(Window.orderBy("w")).alias("whole"))  # one row a window
     inside = slices.withColumn("inside", earlier(Window.partitionBy("w").orderBy(F.col("q").asc_nulls_first())))
@@ -250,7 +255,7 @@ def _cut_by_table(placed: DataFrame, totals: DataFrame, weights: dict[str, int]
 
     parts = [fields.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
     known = placed.join(sources.withColumnRenamed("q", "_s"), F.col("queue").eqNullSafe(F.col("_s"))).select("id", "queue", "start", "n", "wide", "ids", "base", "total", "weight")
-    found = known.mapInArrow(split, f"id {kind}, queue string, w long, position long, a long, ids binary, n long")
+    found = known.mapInArrow(tidy(split), f"id {kind}, queue string, w long, position long, a long, ids binary, n long")
     found = found.join(places, F.col("queue").eqNullSafe(F.col("_q")) & (F.col("w") == F.col("_w"))).withColumn("place", F.col("shift") + F.col("position"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +271,7 @@ def _cut_by_table(placed: DataFrame, totals: DataFrame, weights: dict[str, int]
                         done, place = done + take, place + take
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, fields, strict=True)], schema=fields)
 
-    return found.select("id", "queue", "a", "ids", "n", "place").mapInArrow(cut, out)
+    return found.select("id", "queue", "a", "ids", "n", "place").mapInArrow(tidy(cut), out)
 
 
 def batch_type(df: DataFrame, column: str) -> pa.DataType:
