@@ -8,6 +8,8 @@ are. Long texts are read once, where they lie, and never shuffled: only recipes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,38 +19,39 @@ from .storage import materialize
 CHUNK = r"(?s).{256,4096}?[.!?;\n]|.{1,4096}"
 
 
-def recipe(text: Column) -> Column:
+def recipe(text: Column, identifier: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Ordered list of (h, n, digest) of the chunks of a text; empty for an empty text."""
     chunks = F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
-    return F.transform(chunks, lambda c: F.struct(F.xxhash64(c).alias("h"), F.octet_length(c).alias("n"), F.unhex(F.sha2(c, 256)).alias("digest")))
+    return F.transform(chunks, lambda c: F.struct(identifier(c).alias("h"), F.octet_length(c).alias("n"), F.unhex(F.sha2(c, 256)).alias("digest")))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifier: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with the largest id stays (keep_id, kept);
     rows that repeat both id and text all bear kept, a null id is never the one that stays unless its group has no other
     (then keep_id is null and kept true for all). An empty table gives no rows. Other columns are not read.
+    ``identifier`` makes a chunk's number; that two contents share one costs a join, not the result.
     Groups are counted before they are shuffled, and the join back may be split where a group is large.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"), recipe(text).alias("chunks"))
+    found = df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"), recipe(text, identifier).alias("chunks"))
     docs = materialize(found, "recipes").withColumn("ids", F.transform("chunks", lambda c: F.struct(c["h"], c["n"])))
     chunks = docs.select("id", "text_sha256", F.posexplode("chunks").alias("at", "c")).select("id", "text_sha256", "at", "c.*")
-    unsure = (
-        chunks.groupBy("h", "n")
-        .agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-        .where(F.col("lo") != F.col("hi"))
-        .select("h", "n")
-    )
-    # by (id, text): the chunks whose identifiers do not tell contents apart, with their digests (no such chunk: no row)
-    told = (
-        chunks.join(unsure, ["h", "n"])
-        .groupBy(F.col("id").alias("told_id"), F.col("text_sha256").alias("told_sha"))
-        .agg(F.array_sort(F.collect_set(F.struct("at", "digest"))).alias("told"))
-    )
-    docs = docs.join(told, F.col("id").eqNullSafe(F.col("told_id")) & (F.col("text_sha256") == F.col("told_sha")), "left")
-    docs = docs.select("id", "text_sha256", "ids", F.coalesce("told", F.array().cast("array<struct<at:int,digest:binary>>")).alias("told"))
+    unsure = chunks.groupBy("h", "n").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where(F.col("lo") != F.col("hi"))
+    unsure = materialize(unsure.select("h", "n"), "unsure")
+    none = F.array().cast("array<struct<at:int,digest:binary>>")
+    if unsure.isEmpty():  # as a rule: no identifier stands for two contents, and chunks need not meet
+        docs = docs.select("id", "text_sha256", "ids", none.alias("told"))
+    else:
+        # by (id, text): the chunks whose identifiers do not tell contents apart, with their digests (no such chunk: no row)
+        told = (
+            chunks.join(unsure, ["h", "n"])
+            .groupBy(F.col("id").alias("told_id"), F.col("text_sha256").alias("told_sha"))
+            .agg(F.array_sort(F.collect_set(F.struct("at", "digest"))).alias("told"))
+        )
+        docs = docs.join(told, F.col("id").eqNullSafe(F.col("told_id")) & (F.col("text_sha256") == F.col("told_sha")), "left")
+        docs = docs.select("id", "text_sha256", "ids", F.coalesce("told", none).alias("told"))
     groups = docs.groupBy("ids", "told").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return docs.join(groups, ["ids", "told"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("ids").alias("n_chunks")
