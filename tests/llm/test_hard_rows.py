@@ -2,6 +2,8 @@
 
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import corpus_pipeline
 import numpy as np
@@ -247,3 +249,17 @@ def test_pipeline_stages_against_brute_force(spark):
     for r in stages["packing"](spark, after, SF).collect():
         packed[r.doc_id] += r.length
     assert packed == counts
+
+
+def test_tables_need_no_checksum_files(spark):
+    """Each checksum file costs a command that shares the executor's memory; a page's own checksum is read instead."""
+    out = materialize(spark.range(0, 30_000, 1, 3).withColumn("h", F.xxhash64("id")), "numbers")
+    made = sorted(Path(urlparse(out.inputFiles()[0]).path).parent.iterdir())
+    assert out.count() == 30_000 and out.agg(F.sum("id")).first()[0] == 449_985_000
+    assert [p.name[:5] for p in made] == ["_SUCC", *["part-"] * 3]
+    data = bytearray(made[1].read_bytes())
+    data[len(data) // 2] ^= 1
+    made[1].write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        out.agg(F.bit_xor("h")).collect()
+    storage.drop_materialized(out)

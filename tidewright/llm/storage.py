@@ -65,15 +65,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def file_options(spark: SparkSession) -> dict[str, str]:
+    """Options of writes that leave out checksum files beside local files; folders of another scheme than file:// ignore them, and a site's own
+    class for local files stays. Without its native library Hadoop starts a command (chmod) for each folder, file and checksum file that it
+    creates, and until such a child has become that command it shares the executor's memory, which is counted once more with it."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if conf.get("fs.file.impl") or spark.conf.get("fs.file.impl", None):
+        return {}
+    return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and survives a lost executor.
 
     Within a stage of a pipeline the table goes when the next one begins, unless ``keep``; else it stays until ``drop_application_tables``.
+    Pages are checked by their own checksums when they are read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{label}"
-    df.write.mode("error").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.mode("error").options(**file_options(spark)).option("parquet.page.write-checksum.enabled", "true").parquet(path)
+    out = spark.read.schema(df.schema).option("parquet.page.verify-checksum.enabled", "true").parquet(path)
     if _RUNNING is not None and not keep:
         _RUNNING.append(out)
     return out
